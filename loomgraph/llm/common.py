@@ -7,8 +7,6 @@ text is an empty one.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.plans.session import checkpointed  # noqa: F401  (the operators here use it)
+
 #: Bytes of text that one array operation sees at most (a single longer document is a chunk of its own).
 CHUNK_BYTES = 2 << 20
 #: Bytes of one Arrow batch between the JVM and a Python worker.
@@ -34,15 +34,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder that the cluster names; tests without one get a folder of their own."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "loomgraph-checkpoints")
-        sc.setCheckpointDir(named)
-    return df.checkpoint()
-
-
 def held_out(doc_id: Column) -> Column:
     """Rows kept from training: crc32 of the id as text leaves remainder 1 by 3 (a null id is not held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -127,6 +118,21 @@ def words(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, texts.offsets)
 
 
+def lines(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every \\n-split line in the bytes, and the number of lines before each document (n + 1)."""
+    breaks = np.flatnonzero(texts.data == 10)
+    counts = np.searchsorted(breaks, texts.offsets[1:]) - np.searchsorted(breaks, texts.offsets[:-1]) + 1
+    firsts = np.concatenate([[0], np.cumsum(counts)])
+    starts, ends = np.empty(firsts[-1], np.int64), np.empty(firsts[-1], np.int64)
+    inner = np.ones(firsts[-1], bool)
+    inner[firsts[:-1]] = False
+    starts[firsts[:-1]], starts[inner] = texts.offsets[:-1], breaks + 1
+    inner[:] = True
+    inner[firsts[1:] - 1] = False
+    ends[firsts[1:] - 1], ends[inner] = texts.offsets[1:], breaks
+    return starts, ends, firsts
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads 64 bits (in place)."""
     x ^= x >> U64(33)

@@ -50,21 +50,6 @@ def covered(mask: np.ndarray, n: int, total: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def lines(texts: C.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every \\n-split line in the bytes, and the number of lines before each document (n + 1)."""
-    breaks = np.flatnonzero(texts.data == 10)
-    counts = np.searchsorted(breaks, texts.offsets[1:]) - np.searchsorted(breaks, texts.offsets[:-1]) + 1
-    firsts = np.concatenate([[0], np.cumsum(counts)])
-    starts, ends = np.empty(firsts[-1], np.int64), np.empty(firsts[-1], np.int64)
-    inner = np.ones(firsts[-1], bool)
-    inner[firsts[:-1]] = False
-    starts[firsts[:-1]], starts[inner] = texts.offsets[:-1], breaks + 1
-    inner[:] = True
-    inner[firsts[1:] - 1] = False
-    ends[firsts[1:] - 1], ends[inner] = texts.offsets[1:], breaks
-    return starts, ends, firsts
-
-
 def measure(texts: C.Texts) -> dict[str, np.ndarray]:
     starts, ends, firsts = C.words(texts)
     hashes = C.SpanHash(texts.data)
@@ -86,7 +71,7 @@ def measure(texts: C.Texts) -> dict[str, np.ndarray]:
             out["n_repeat_words"] = C.sums(words_in, firsts)
         if n in COVERAGE:
             out[f"cover_{n}"] = share(C.sums(chars * words_in, firsts), out["word_chars"])
-    begin, end, line_firsts = lines(texts)
+    begin, end, line_firsts = C.lines(texts)
     before = np.concatenate([[0], np.cumsum(~C.SPACE[texts.data])])
     solid = before[end] > before[begin]
     own = np.repeat(np.arange(texts.n), np.diff(line_firsts))
