@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import avi, bpe, language_id, line_dedup, mixing, repetition, simhash, token_counts
+from loomgraph.llm import avi, bpe, compact_windows, language_id, line_dedup, mixing, repetition, rule_ensemble, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +35,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"), _pieces())
 
 
+def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return rule_ensemble.score(docs, rule_ensemble.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -59,13 +68,29 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def encode_documents(docs: DataFrame) -> DataFrame:
+    """Encoding by the public multilingual ranks, as the pipeline and its query use it."""
+    return bpe.encode(docs, _vocabulary(), _pattern())
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary(), _pattern())
+    return encode_documents(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op3_avi_motion_jpeg, op5_source_mixing, op6_repetition_coverage, op7_line_dedup, op8_simhash, op9_token_counts, op10_byte_bpe)
+    for f in (
+        op1_language_id,
+        op2_compact_windows,
+        op3_avi_motion_jpeg,
+        op4_rule_ensemble,
+        op5_source_mixing,
+        op6_repetition_coverage,
+        op7_line_dedup,
+        op8_simhash,
+        op9_token_counts,
+        op10_byte_bpe,
+    )
 }
 
 #: DuckDB SQL for the rows of a query, where SQL can express it.
