@@ -101,7 +101,7 @@ class Graph:
         orders, lines, key = self.table("orders"), self.table("lineitem"), F.col
         customers = self.table("customer")
         mentions = lines.select("l_orderkey", "l_suppkey").distinct().select(*edge(uid("article", key("l_orderkey")), uid("org", key("l_suppkey")), "MENTIONS", 0.5))
-        develops = lines.select("l_suppkey", "l_partkey").distinct().where("l_partkey % 10 = 0").select(*edge(uid("org", key("l_suppkey")), uid("tech", key("l_partkey")), "DEVELOPS", 0.7))
+        develops = lines.select("l_suppkey", "l_partkey").distinct().select(*edge(uid("org", key("l_suppkey")), uid("tech", key("l_partkey")), "DEVELOPS", 0.7))
         written = orders.select(*edge(uid("article", key("o_orderkey")), uid("person", key("o_custkey")), "WRITTEN_BY", 1.0))
         member = customers.select(*edge(uid("person", key("c_custkey")), uid("topic:n", key("c_nationkey")), "AFFILIATED_WITH", 0.6))
         sub = self.table("nation").select(*edge(uid("topic:n", key("n_nationkey")), uid("topic:r", key("n_regionkey")), "SUBTOPIC_OF", 1.0))
@@ -173,7 +173,7 @@ supports AS (SELECT 'claim:' || doc_id AS src, 'claim:' || (doc_id - 1) AS dst,
   UNION ALL SELECT 'claim:' || doc_id, 'claim:' || (doc_id // 2), 'SUPPORTS', 0.5::DOUBLE FROM documents WHERE doc_id % 4 = 0 AND doc_id > 3),
 edges AS (SELECT * FROM discusses
   UNION ALL SELECT DISTINCT 'article:' || l_orderkey, 'org:' || l_suppkey, 'MENTIONS', 0.5::DOUBLE FROM lineitem
-  UNION ALL SELECT DISTINCT 'org:' || l_suppkey, 'tech:' || l_partkey, 'DEVELOPS', 0.7::DOUBLE FROM lineitem WHERE l_partkey % 10 = 0
+  UNION ALL SELECT DISTINCT 'org:' || l_suppkey, 'tech:' || l_partkey, 'DEVELOPS', 0.7::DOUBLE FROM lineitem
   UNION ALL SELECT 'article:' || o_orderkey, 'person:' || o_custkey, 'WRITTEN_BY', 1.0::DOUBLE FROM orders
   UNION ALL SELECT 'person:' || c_custkey, 'topic:n:' || c_nationkey, 'AFFILIATED_WITH', 0.6::DOUBLE FROM customer
   UNION ALL SELECT 'topic:n:' || n_nationkey, 'topic:r:' || n_regionkey, 'SUBTOPIC_OF', 1.0::DOUBLE FROM nation

@@ -96,10 +96,10 @@ def claim_sources(g: Graph) -> DataFrame:
 
 @query("""WITH entity AS (SELECT uid, claim_type, content, confidence, valid_from, key, valid_until, lower(unnest(related_entities)) AS e FROM claims)
 SELECT o.uid, CAST(min(n.valid_from) AS VARCHAR) AS valid_until FROM entity o JOIN entity n ON o.claim_type = n.claim_type AND o.e = n.e AND o.uid <> n.uid AND o.content <> n.content AND o.confidence < n.confidence
-WHERE o.valid_until IS NULL AND n.key % 10 = 0 GROUP BY o.uid""")
+WHERE o.valid_until IS NULL AND n.valid_from >= DATE '2024-12-01' GROUP BY o.uid""")
 def claim_invalidations(g: Graph) -> DataFrame:
-    """Every tenth document plays the incoming batch."""
-    return C.invalidations(g.claims, g.claims.where("key % 10 = 0")).select("uid", TEXT_DATE("valid_until"))
+    """The claims of December are the incoming batch."""
+    return C.invalidations(g.claims, g.claims.where("valid_from >= DATE '2024-12-01'")).select("uid", TEXT_DATE("valid_until"))
 
 
 @query("""SELECT uid, 1 AS entries, [coalesce(confidence, 0.5)][1] AS baseline FROM claims WHERE confidence_decay IS NULL""")

@@ -44,11 +44,11 @@ def merged_edges(g: Graph) -> DataFrame:
     return dedup.merge_edges(lines)
 
 
-@query("""WITH k AS (SELECT uid, name, kind FROM technologies WHERE key % 3 <> 0), i AS (SELECT uid, upper(name) AS name, CASE WHEN key % 2 = 0 THEN brand END AS kind FROM technologies WHERE key % 4 = 0)
+@query("""WITH k AS (SELECT uid, name, kind FROM technologies WHERE size > 10), i AS (SELECT uid, upper(name) AS name, CASE WHEN key % 2 = 0 THEN brand END AS kind FROM technologies WHERE kind IN ('promo', 'small', 'large'))
 SELECT coalesce(k.uid, i.uid) AS uid, coalesce(k.name, i.name) AS name, coalesce(i.kind, k.kind) AS kind, k.uid IS NULL AS created FROM k FULL JOIN i ON k.uid = i.uid""")
 def upserted_nodes(g: Graph) -> DataFrame:
-    known = g.technologies.where("key % 3 <> 0").select("uid", "name", "kind")
-    incoming = g.technologies.where("key % 4 = 0").select("uid", F.upper("name").alias("name"), F.when(F.col("key") % 2 == 0, F.col("brand")).alias("kind"))
+    known = g.technologies.where("size > 10").select("uid", "name", "kind")
+    incoming = g.technologies.where("kind IN ('promo', 'small', 'large')").select("uid", F.upper("name").alias("name"), F.when(F.col("key") % 2 == 0, F.col("brand")).alias("kind"))
     return dedup.upsert_nodes(known, incoming, ["name"], ["kind"])
 
 
@@ -104,13 +104,13 @@ def three_way_retrieval(g: Graph) -> DataFrame:
     return retrieval.three_ways(g.technologies, topics, g.articles, "gear", "2001-01-01")
 
 
-@query("""WITH m AS (SELECT DISTINCT lower(name) AS mention FROM technologies WHERE key % 40 = 0 UNION SELECT lower(name) FROM topics WHERE uid LIKE '%r:%'),
+@query("""WITH m AS (SELECT DISTINCT lower(name) AS mention FROM technologies UNION SELECT lower(name) FROM topics WHERE uid LIKE '%r:%'),
 w AS (SELECT DISTINCT uid, unnest(string_split(lower(name), ' ')) AS word FROM technologies), mw AS (SELECT DISTINCT mention, unnest(string_split(mention, ' ')) AS word FROM m),
 a AS (SELECT mention, uid, 10.0::DOUBLE AS score FROM m JOIN technologies ON lower(name) = mention UNION ALL SELECT mention, uid, 8.0 FROM m JOIN topics ON lower(name) = mention UNION ALL SELECT mention, uid, 6.0 FROM mw JOIN w USING (word))
 SELECT mention, uid, max(score) AS score FROM a GROUP BY mention, uid""")
 def resolved_entities(g: Graph) -> DataFrame:
-    """Some technologies' names and the regions' play the names that questions mention."""
-    asked = g.technologies.where("key % 40 = 0").select(F.lower("name").alias("mention")).union(g.topics.where("uid LIKE '%r:%'").select(F.lower("name"))).distinct()
+    """The technologies' names and the regions' play the names that questions mention."""
+    asked = g.technologies.select(F.lower("name").alias("mention")).union(g.topics.where("uid LIKE '%r:%'").select(F.lower("name"))).distinct()
     return retrieval.resolve(asked, g.technologies, g.topics)
 
 

@@ -114,27 +114,25 @@ def reach_two_hops(g: Graph) -> DataFrame:
     return match.reach(g.depends_on, 2).groupBy("uid").agg(F.count("*").alias("reach"))
 
 
-@query("""WITH seeds AS (SELECT uid FROM technologies WHERE key % 50 = 1),
+@query("""WITH seeds AS (SELECT uid FROM technologies),
 e AS (SELECT src, dst, src || '|' || type || '|' || dst AS edge FROM depends_on),
 b AS (SELECT src, dst, edge FROM e UNION ALL SELECT dst, src, edge FROM e),
 p1 AS (SELECT uid AS seed, dst AS at, [uid, dst] AS path, [edge] AS used FROM seeds JOIN b ON src = uid),
-p2 AS (SELECT seed, b.dst AS at, list_append(path, b.dst) AS path, list_append(used, edge) AS used FROM p1 JOIN b ON b.src = p1.at WHERE NOT list_contains(used, edge)),
-p3 AS (SELECT seed, b.dst AS at, list_append(path, b.dst) AS path FROM p2 JOIN b ON b.src = p2.at WHERE NOT list_contains(used, edge))
-SELECT seed, array_to_string(path, '>') AS path, 1 AS hops FROM p1 UNION ALL SELECT seed, array_to_string(path, '>'), 2 FROM p2 UNION ALL SELECT seed, array_to_string(path, '>'), 3 FROM p3""")
+p2 AS (SELECT seed, b.dst AS at, list_append(path, b.dst) AS path, list_append(used, edge) AS used FROM p1 JOIN b ON b.src = p1.at WHERE NOT list_contains(used, edge))
+SELECT seed, array_to_string(path, '>') AS path, 1 AS hops FROM p1 UNION ALL SELECT seed, array_to_string(path, '>'), 2 FROM p2""")
 def bounded_paths(g: Graph) -> DataFrame:
-    """Walks of up to three undirected dependencies from a fiftieth of the technologies (a seed set, as a question would name)."""
-    seeds = g.technologies.where("key % 50 = 1").select("uid")
-    return match.trails(seeds, g.depends_on, 3).select("seed", F.array_join("path", ">").alias("path"), "hops")
+    """Walks of up to two undirected dependencies from every technology."""
+    return match.trails(g.technologies.select("uid"), g.depends_on, 2).select("seed", F.array_join("path", ">").alias("path"), "hops")
 
 
 @query("""WITH RECURSIVE b AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM depends_on UNION ALL SELECT dst, src FROM depends_on)),
-w AS (SELECT uid AS a, 'tech:' || (key // 2) AS b FROM technologies WHERE key % 10 = 3),
-r AS (SELECT DISTINCT a AS seed, a AS node, 0 AS distance FROM w UNION SELECT r.seed, b.dst, r.distance + 1 FROM r JOIN b ON b.src = r.node WHERE r.distance < 5),
+w AS (SELECT uid AS a, 'tech:' || (key // 2) AS b FROM technologies),
+r AS (SELECT DISTINCT a AS seed, a AS node, 0 AS distance FROM w UNION SELECT r.seed, b.dst, r.distance + 1 FROM r JOIN b ON b.src = r.node WHERE r.distance < 3),
 m AS (SELECT seed, node, min(distance) AS distance FROM r GROUP BY seed, node)
 SELECT w.a, w.b, coalesce(m.distance, -1) AS distance FROM w LEFT JOIN m ON m.seed = w.a AND m.node = w.b""")
 def shortest_paths(g: Graph) -> DataFrame:
-    pairs = g.technologies.where("key % 10 = 3").select(F.col("uid").alias("a"), F.concat(F.lit("tech:"), F.floor(F.col("key") / 2).cast("string")).alias("b"))
-    return match.shortest_distance(g.depends_on, pairs).withColumn("distance", F.coalesce("distance", F.lit(-1)))
+    pairs = g.technologies.select(F.col("uid").alias("a"), F.concat(F.lit("tech:"), F.floor(F.col("key") / 2).cast("string")).alias("b"))
+    return match.shortest_distance(g.depends_on, pairs, depth=3).withColumn("distance", F.coalesce("distance", F.lit(-1)))
 
 
 @query("""WITH members AS (SELECT uid FROM technologies WHERE kind = 'promo')

@@ -17,14 +17,14 @@ def rule_transitive_dependency(g: Graph) -> DataFrame:
 
 
 def _affiliated(g: Graph) -> DataFrame:
-    """Articles' authors develop what their articles discuss (every hundredth technology), for the ownership rule."""
+    """Articles' authors develop what their articles discuss, for the ownership rule."""
     wrote = match.of_types(g.edges, "WRITTEN_BY").select(F.col("src").alias("article"), F.col("dst").alias("src"))
-    made = g.discusses.where(F.col("dst").endswith("00")).select(F.col("src").alias("article"), "dst")
+    made = g.discusses.select(F.col("src").alias("article"), "dst")
     develops = wrote.join(made, "article").select("src", "dst", F.lit("DEVELOPS").alias("type"), F.lit(0.7).alias("confidence")).distinct()
     return match.of_types(g.edges, "AFFILIATED_WITH").unionByName(develops)
 
 
-@query("""SELECT DISTINCT a.dst AS src, d.dst FROM edges w JOIN discusses d ON d.src = w.src AND d.dst LIKE '%00' JOIN edges a ON a.src = w.dst AND a.type = 'AFFILIATED_WITH' WHERE w.type = 'WRITTEN_BY'""")
+@query("""SELECT DISTINCT a.dst AS src, d.dst FROM edges w JOIN discusses d ON d.src = w.src JOIN edges a ON a.src = w.dst AND a.type = 'AFFILIATED_WITH' WHERE w.type = 'WRITTEN_BY'""")
 def rule_ownership(g: Graph) -> DataFrame:
     return rules.ownership(_affiliated(g), g.claims, g.nodes).select("src", "dst")
 
