@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.plans.session import checkpointed
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Every edge from either of its ends."""
@@ -88,7 +90,7 @@ def shortest_distance(edges: DataFrame, pairs: DataFrame, depth: int = 5) -> Dat
     frontier = seen = pairs.select(F.col("a").alias("seed"), F.col("a").alias("at"), F.lit(0).alias("distance")).distinct()
     for d in range(1, depth + 1):
         ahead = frontier.join(step, frontier["at"] == step["src"]).select("seed", F.col("dst").alias("at"), F.lit(d).alias("distance")).distinct()
-        frontier = ahead.join(seen.select("seed", "at"), ["seed", "at"], "left_anti")
+        frontier = checkpointed(ahead.join(seen.select("seed", "at"), ["seed", "at"], "left_anti"))
         seen = seen.unionAll(frontier)
     near = seen.select(F.col("seed").alias("a"), F.col("at").alias("b"), "distance")
     return pairs.select("a", "b").distinct().join(near, ["a", "b"], "left")
