@@ -60,7 +60,7 @@ class Graph:
 
     @cached_property
     def claims(self) -> DataFrame:
-        """Two related entities each, which two to five other claims share, whatever the number of documents."""
+        """Three related entities each, which two to fifteen other claims share, whatever the number of documents."""
         labels = self.table("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
         key = F.col("doc_id")
         day = F.date_add(F.lit("2024-01-01").cast("date"), (key % 365).cast("int"))
@@ -80,7 +80,7 @@ class Graph:
                 F.when(key % 5 == 0, F.date_add(day, 90)).alias("valid_until"),
                 F.when(key % 3 == 0, F.date_add(day, 30)).alias("last_verified"),
                 F.when(key % 7 == 0, F.lit(True)).when(key % 7 < 5, F.lit(False)).alias("verified"),
-                F.array(uid("tech", F.floor(key / 3)), uid("tech", F.floor(key / 5))).alias("related_entities"),
+                F.array(*[uid("tech", F.floor(key / n)) for n in (3, 5, 16)]).alias("related_entities"),
                 F.col("source").alias("source"),
             )
         )
@@ -162,7 +162,7 @@ claims AS (SELECT 'claim:' || d.doc_id AS uid, d.doc_id AS key, d.text AS conten
   CASE WHEN d.doc_id % 5 = 0 THEN DATE '2024-01-01' + CAST(d.doc_id % 365 AS INT) + 90 END AS valid_until,
   CASE WHEN d.doc_id % 3 = 0 THEN DATE '2024-01-01' + CAST(d.doc_id % 365 AS INT) + 30 END AS last_verified,
   CASE WHEN d.doc_id % 7 = 0 THEN TRUE WHEN d.doc_id % 7 < 5 THEN FALSE END AS verified,
-  ['tech:' || (d.doc_id // 3), 'tech:' || (d.doc_id // 5)] AS related_entities, d.source AS source
+  ['tech:' || (d.doc_id // 3), 'tech:' || (d.doc_id // 5), 'tech:' || (d.doc_id // 16)] AS related_entities, d.source AS source
   FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) q ON d.doc_id = q.doc_id),
 discusses AS (SELECT DISTINCT 'article:' || l_orderkey AS src, 'tech:' || l_partkey AS dst, 'DISCUSSES' AS type, 0.8::DOUBLE AS confidence FROM lineitem),
 depends_on AS (SELECT uid AS src, 'tech:' || (key // 3) AS dst, 'DEPENDS_ON' AS type, 0.9::DOUBLE AS confidence FROM technologies WHERE key % 3 = 0 AND key > 0

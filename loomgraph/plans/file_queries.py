@@ -47,10 +47,10 @@ def report_gate(g: Graph) -> DataFrame:
     return counted.groupBy("doc_id").agg(F.sum("n").alias("lines"), F.count_if((F.col("n") > 1) & ~blank).alias("repeated"), F.sum(F.when(blank, F.col("n")).otherwise(0)).alias("blank"), (F.sum(F.col("n") * F.length("line")) < 500).alias("short"))
 
 
-INCIDENTS = {"promise": "(?i)will |shall ", "number": "[0-9]{3,}", "link": "https?://"}
+INCIDENTS = {"code": "`", "comma": ",", "stop": "[.]"}
 
 
-@query("""WITH h AS (SELECT 'promise' AS incident, conv_id, turn FROM conversations WHERE regexp_matches(text, 'will |shall ', 'i') UNION ALL SELECT 'number', conv_id, turn FROM conversations WHERE regexp_matches(text, '[0-9]{3,}') UNION ALL SELECT 'link', conv_id, turn FROM conversations WHERE regexp_matches(text, 'https?://')),
+@query("""WITH h AS (SELECT 'code' AS incident, conv_id, turn FROM conversations WHERE regexp_matches(text, '`') UNION ALL SELECT 'comma', conv_id, turn FROM conversations WHERE regexp_matches(text, ',') UNION ALL SELECT 'stop', conv_id, turn FROM conversations WHERE regexp_matches(text, '[.]')),
 r AS (SELECT *, row_number() OVER (PARTITION BY incident ORDER BY conv_id, turn) AS k FROM h) SELECT incident, conv_id, turn, k FROM r WHERE k <= 5""")
 def mined_incidents(g: Graph) -> DataFrame:
     """The first five turns of each pattern."""

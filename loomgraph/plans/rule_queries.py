@@ -35,10 +35,10 @@ def rule_contradiction_notes(g: Graph) -> DataFrame:
     return rules.contradiction_notes(g.about, g.claims, g.nodes).select("src", "dst")
 
 
-@query("""SELECT DISTINCT a.src, 'paper:ref-' || a.src AS dst FROM about a JOIN claims c ON c.uid = a.dst WHERE contains(content, 'license')""")
+@query("""SELECT DISTINCT a.src, 'paper:ref-' || a.src AS dst FROM about a JOIN claims c ON c.uid = a.dst WHERE contains(content, 'rights') OR contains(content, 'License')""")
 def rule_placeholder_papers(g: Graph) -> DataFrame:
-    """The word that stands for a paper here is one that these texts have."""
-    return rules.placeholder_papers(g.about, g.claims, g.nodes, ("license",)).select("src", "dst")
+    """The words that stand for a paper here are ones that these texts have."""
+    return rules.placeholder_papers(g.about, g.claims, g.nodes, ("rights", "License")).select("src", "dst")
 
 
 @query("""SELECT 'repo:inferred-' || t.uid AS src, t.uid AS dst FROM technologies t JOIN discusses d ON d.dst = t.uid WHERE t.kind IN ('promo', 'large') GROUP BY t.uid HAVING count(*) >= 3""")
