@@ -28,7 +28,8 @@ def resolved_names(g: Graph) -> DataFrame:
     return repair.resolved_names(g.technologies.select(spelled.alias("name")).distinct(), g.technologies)
 
 
-@query("""WITH b AS (SELECT uid FROM technologies WHERE kind = 'promo') SELECT c.uid, array_to_string(list_filter(related_entities, lambda e: NOT list_contains((SELECT list(uid) FROM b), e)), ',') AS entities FROM claims c""")
+@query("""WITH o AS (SELECT uid, unnest(related_entities) AS e, generate_subscripts(related_entities, 1) AS i FROM claims)
+SELECT uid, coalesce(string_agg(e, ',' ORDER BY i) FILTER (WHERE e NOT IN (SELECT uid FROM technologies WHERE kind = 'promo')), '') AS entities FROM o GROUP BY uid""")
 def claims_without_banned(g: Graph) -> DataFrame:
     banned = g.technologies.where("kind = 'promo'").select("uid")
     return repair.without(g.technologies, g.depends_on, g.claims.select("uid", "related_entities"), banned)[2].select("uid", F.array_join("related_entities", ",").alias("entities"))

@@ -10,9 +10,8 @@ from loomgraph.functions import text as T
 
 def articles(spark: SparkSession, path: str, since: str | None = None, prefix: str = "") -> DataFrame:
     """Markdown files with front matter: slug, date, relevance, categories, links, title, summary bullets. since: only files modified after."""
-    reader = spark.read.option("wholetext", True)
-    reader = reader.option("modifiedAfter", since) if since else reader
-    return parsed_articles(reader.text(path).select(F.col("value").alias("raw"), F.input_file_name().alias("file")), prefix)
+    reader = spark.read.option("modifiedAfter", since) if since else spark.read
+    return parsed_articles(reader.text(path, wholetext=True).select(F.col("value").alias("raw"), F.input_file_name().alias("file")), prefix)
 
 
 def parsed_articles(raw: DataFrame, prefix: str = "") -> DataFrame:
@@ -23,9 +22,9 @@ def parsed_articles(raw: DataFrame, prefix: str = "") -> DataFrame:
     heading = F.regexp_extract(body, r"(?m)^# (.+)$", 1)
     return raw.select(
         F.concat(F.lit(prefix), T.file_slug(F.col("file"))).alias("slug"),
-        F.to_date(F.substring(field("date"), 1, 10)).alias("date"),
+        F.substring(field("date"), 1, 10).try_cast("date").alias("date"),
         F.regexp_replace(field("relevance"), r"[🔴🟡🔵\s]", "").alias("relevance"),
-        F.filter(F.transform(F.split(inline, ","), F.trim), lambda c: c != "").alias("categories"),
+        F.filter(F.transform(F.split(inline, ","), lambda c: F.trim(c)), lambda c: c != "").alias("categories"),
         field("source").alias("source"),
         F.when(heading != "", heading).otherwise(F.substring_index("file", "/", -1)).alias("title"),
         F.slice(F.regexp_extract_all(body, F.lit(r"(?m)^[-*] (.+)$"), F.lit(1)), 1, 5).alias("bullets"),
