@@ -139,6 +139,6 @@ def coverage(claims: DataFrame, sources: DataFrame, evidence: DataFrame) -> Data
 
 
 def confidence_steps(events: DataFrame) -> DataFrame:
-    """A history of confidences from evidence entries: the running mean of their strength, to 4 places."""
+    """A history of confidences from evidence entries: the running mean of their strength (in hundredths), cut to 4 places."""
     upto = Window.partitionBy("uid").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.select("uid", F.row_number().over(Window.partitionBy("uid").orderBy("ts", "event_id")).alias("seq"), F.round(F.avg(F.col("k") / 100.0).over(upto), 4).alias("confidence"))
+    return events.select("uid", F.row_number().over(Window.partitionBy("uid").orderBy("ts", "event_id")).alias("seq"), (F.floor(F.sum("k").over(upto) * 100 / F.count("k").over(upto)) / 10000.0).alias("confidence"))

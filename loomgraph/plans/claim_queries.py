@@ -110,7 +110,7 @@ def history_init(g: Graph) -> DataFrame:
 
 
 @query("""WITH h AS (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY ts, event_id) AS seq,
-  round(avg(k / 100.0::DOUBLE) OVER (PARTITION BY uid ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS confidence FROM evidence),
+  floor(CAST(sum(k) OVER w AS BIGINT) * 100 / count(k) OVER w) / 10000.0::DOUBLE AS confidence FROM evidence WINDOW w AS (PARTITION BY uid ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 e AS (SELECT uid, arg_min(confidence, seq) AS first, arg_max(confidence, seq) AS current FROM h GROUP BY uid)
 SELECT uid, first, current, round(current - first, 6) AS change, CASE WHEN current - first > 0 THEN 'rising' ELSE 'falling' END AS direction FROM e WHERE abs(round(current - first, 6)) >= 0.1""")
 def claim_trends(g: Graph) -> DataFrame:
