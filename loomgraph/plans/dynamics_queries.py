@@ -78,18 +78,18 @@ def tier_changes(g: Graph) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT event_id AS event, 'user:' || user_id AS uid, event_type AS kind, CAST(json_extract_string(props, '$.k') AS INT) / 100.0::DOUBLE AS magnitude, value / 500.0::DOUBLE AS weight FROM events)
-SELECT uid, count(*) AS hits, CAST(round(sum(magnitude * weight * 0.5::DOUBLE * CASE kind WHEN 'purchase' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) * 1e7) AS BIGINT) AS delta_e7, CAST(round(least(1.0::DOUBLE, 0.1::DOUBLE + coalesce(sum(magnitude * weight * 0.5::DOUBLE) FILTER (WHERE kind = 'purchase'), 0)) * 1e7) AS BIGINT) AS volatility_e7
+SELECT uid, count(*) AS hits, CAST(round(sum(magnitude * weight * 0.5::DOUBLE * CASE kind WHEN 'purchase' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) * 1e8) AS BIGINT) AS delta_e8, CAST(round(least(1.0::DOUBLE, 0.1::DOUBLE + coalesce(sum(magnitude * weight * 0.5::DOUBLE) FILTER (WHERE kind = 'purchase'), 0)) * 1e8) AS BIGINT) AS volatility_e8
 FROM e WHERE kind IN ('purchase', 'click') GROUP BY uid""")
 def injected_events(g: Graph) -> DataFrame:
-    """Purchases hit their user directly; clicks, which have no direct target, half as much and without stirring. Sums in ten-millionths, which these values fill exactly."""
+    """Purchases hit their user directly; clicks, which have no direct target, half as much and without stirring. Sums in hundred-millionths, which these values fill exactly."""
     e = g.events.where("event_type IN ('purchase', 'click')")
     name = F.concat(F.lit("event:"), F.col("event_id").cast("string"))
     happened = e.select(name.alias("event"), (F.col("k") / 100.0).alias("magnitude"))
     edges = e.select(name.alias("src"), F.col("uid").alias("dst"), F.when(F.col("event_type") == "purchase", "IMPACTS").otherwise("INFLUENCES").alias("type"), (F.col("value") / 500.0).alias("weight"))
     users = e.select("uid").distinct().select("uid", F.lit(0.5).alias("susceptibility"), F.lit(0.1).alias("volatility"))
     hits = M.inject(happened, edges, users)
-    total = hits.groupBy("uid").agg(F.count("*").alias("hits"), F.round(F.sum("delta") * 1e7).cast("bigint").alias("delta_e7"))
-    return total.join(M.stirred(users, hits).select("uid", F.round(F.col("volatility") * 1e7).cast("bigint").alias("volatility_e7")), "uid")
+    total = hits.groupBy("uid").agg(F.count("*").alias("hits"), F.round(F.sum("delta") * 1e8).cast("bigint").alias("delta_e8"))
+    return total.join(M.stirred(users, hits).select("uid", F.round(F.col("volatility") * 1e8).cast("bigint").alias("volatility_e8")), "uid")
 
 
 @query("""WITH e AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 5 ELSE 0 END AS round FROM events WHERE event_type IN ('error', 'signup')), n AS (SELECT greatest(1, count(*)) AS n FROM e WHERE round <= 0)
