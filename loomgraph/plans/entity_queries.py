@@ -20,12 +20,12 @@ def exact_copies(g: Graph) -> DataFrame:
     return dedup.exact_copies(g.nodes.where("label IN ('Technology', 'Topic')"))
 
 
-@query(f"""WITH n AS (SELECT DISTINCT label, {NORMAL} AS n FROM nodes WHERE label IN ('Technology', 'Topic', 'Organization')),
+@query(f"""WITH n AS (SELECT DISTINCT label, {NORMAL} AS n FROM nodes WHERE label IN ('Technology', 'Topic')),
 p AS (SELECT a.label, a.n AS x, b.n AS y, least(length(a.n), length(b.n)) AS short, greatest(length(a.n), length(b.n)) AS long FROM n a JOIN n b ON a.label = b.label AND a.n < b.n),
 s AS (SELECT label, x, y, CASE WHEN (contains(x, y) OR contains(y, x)) AND short >= 3 AND long - short <= 3 THEN 0.9 ELSE 1.0::DOUBLE - levenshtein(x, y) / long::DOUBLE END AS score FROM p)
 SELECT * FROM s WHERE score >= 0.85""")
 def similar_names(g: Graph) -> DataFrame:
-    return dedup.similar_names(g.nodes.where("label IN ('Technology', 'Topic', 'Organization')"))
+    return dedup.similar_names(g.nodes.where("label IN ('Technology', 'Topic')"))
 
 
 @query("""WITH m AS (SELECT t.uid AS gone, l.keep FROM technologies t JOIN (SELECT name, brand, min(uid) AS keep FROM technologies GROUP BY name, brand) l ON t.name = l.name AND t.brand = l.brand WHERE uid <> keep)
