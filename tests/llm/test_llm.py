@@ -133,6 +133,23 @@ def test_planted_near_passage_is_found(spark):
     assert [(r["doc_id"], r["match_doc_id"], r["first_word"], r["match_first_word"]) for r in found] == [(2, 1, 30, 100)]
 
 
+@pytest.mark.parametrize("n", [50, 60, 80, 85])
+def test_passage_with_a_phrase_that_stands_earlier_too(spark, n):
+    fresh = lambda n: [f"w{random.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(n)
+    half = n // 2
+    for earlier in (passage[half : half + 5], passage[: half + 10], passage[:-2]):  # one phrase of it, and quotes of its first part
+        rows = [(1, " ".join(fresh(20) + earlier + fresh(30) + passage + fresh(20))), (2, " ".join(fresh(30) + passage + fresh(40)))]
+        found = compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert (2, 1, 30, 50 + len(earlier)) in [(r["doc_id"], r["match_doc_id"], r["first_word"], r["match_first_word"]) for r in found]
+
+
+def test_a_rewritten_sentence_parts_no_long_passage():
+    a = common.mixed(np.arange(1, 401, dtype=np.uint64))
+    b = np.concatenate([a[:200], common.mixed(np.arange(1000, 1020, dtype=np.uint64)), a[220:]])
+    assert compact_windows.passages(a, b, [50]) == [(0, 399, 0, 399, 380 / 420)]
+
+
 def test_compact_windows_cover_every_subsequence_once():
     values = common.mixed(np.array([random.randrange(12) for _ in range(60)], np.uint64))
     doc, c, left, right = compact_windows.windows(values, np.array([0, 25, 60]), 6)
