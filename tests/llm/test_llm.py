@@ -144,6 +144,20 @@ def test_passage_with_a_phrase_that_stands_earlier_too(spark, n):
         assert (2, 1, 30, 50 + len(earlier)) in [(r["doc_id"], r["match_doc_id"], r["first_word"], r["match_first_word"]) for r in found]
 
 
+@pytest.mark.parametrize("n, held", [(56, 48), (51, 49), (56, 45), (50, 30), (60, 8)])
+def test_passage_of_which_lesser_documents_have_a_part(spark, n, held):
+    fresh = lambda n: [f"w{random.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(40):
+        passage = fresh(n)
+        parts = [passage[:held], passage[-held:], passage[n // 3 : n // 3 + held // 2], passage, passage]
+        rows += [(10 * k + i, " ".join(fresh(30) + part + fresh(30))) for i, part in enumerate(parts)]
+        want.add((10 * k + 4, 10 * k + 3, 30, 30 + n - 1))
+    found = compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    linked = {(r["doc_id"], r["match_doc_id"], r["first_word"], r["last_word"]) for r in found}
+    assert want <= linked and len(linked) == len(found)
+
+
 def test_a_rewritten_sentence_parts_no_long_passage():
     a = common.mixed(np.arange(1, 401, dtype=np.uint64))
     b = np.concatenate([a[:200], common.mixed(np.arange(1000, 1020, dtype=np.uint64)), a[220:]])
