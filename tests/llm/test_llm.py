@@ -158,6 +158,28 @@ def test_passage_of_which_lesser_documents_have_a_part(spark, n, held):
     assert want <= linked and len(linked) == len(found)
 
 
+def test_surroundings_bear_an_inserted_word():
+    """Of passages of 50 words with one word inserted, few have no shared window of like surroundings."""
+    W, chance, missed = compact_windows, np.random.default_rng(3), 0
+    for _ in range(600):
+        words = chance.integers(1, 2**60, 150).astype(np.uint64)
+        other = np.concatenate([chance.integers(1, 2**60, 40).astype(np.uint64), words[50:62], chance.integers(1, 2**60, 1).astype(np.uint64), words[62:100], chance.integers(1, 2**60, 60).astype(np.uint64)])
+        sides = []
+        for x in (words, other):
+            firsts = np.array([0, len(x)])
+            token, inside = common.shingles(x, firsts, W.WORDS)
+            token, firsts, kept = token[inside], np.array([0, int(inside.sum())]), {}
+            for k in range(W.HASHES):
+                value = common.mixed(token ^ np.uint64((k + 1) * common.BASE & (2**64 - 1)))
+                doc, c, _, _ = W.windows(value, firsts)
+                marks = W.surroundings(token, c, firsts[doc], firsts[doc + 1])
+                kept |= {int(value[p]): [int(m[n]) for m in marks] for n, p in enumerate(c.tolist())}
+            sides.append(kept)
+        a, b = sides
+        missed += not any(x and x == y for key in a.keys() & b.keys() for x, y in zip(a[key], b[key]))
+    assert missed <= 6
+
+
 def test_a_rewritten_sentence_parts_no_long_passage():
     a = common.mixed(np.arange(1, 401, dtype=np.uint64))
     b = np.concatenate([a[:200], common.mixed(np.arange(1000, 1020, dtype=np.uint64)), a[220:]])
