@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,8 @@ CHUNK_BYTES = 2 << 20
 BATCH_BYTES = 16 << 20
 
 U64 = np.uint64
-#: Odd multipliers of the polynomial hashes, and the finaliser's.
+#: Odd multipliers of hash tables and of the shingles' polynomials.
 BASE, SHINGLE_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -143,30 +143,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base & (2**64 - 1), U64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, out=out)
-
-
-class SpanHash:
-    """64-bit hashes of byte spans from one prefix sum over the buffer."""
-
-    _kept: tuple[np.ndarray, np.ndarray] = (np.zeros(0, U64), np.zeros(0, U64))
-
-    def __init__(self, data: np.ndarray):
-        n = len(data) + 1
-        if len(SpanHash._kept[0]) < n or len(SpanHash._kept[0]) > 4 * max(n, CHUNK_BYTES):
-            size = max(n, CHUNK_BYTES)
-            SpanHash._kept = (_powers(BASE, size), _powers(BASE_INVERSE, size))
-        self.inverse = SpanHash._kept[1]
-        table = mixed(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F))
-        self.sums = np.zeros(n, U64)
-        np.cumsum(table[data] * SpanHash._kept[0][: n - 1], out=self.sums[1:])
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(U64) * U64(0x2545F4914F6CDD1D))
+P1, P2, P3, P4, P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: Spans of so many bytes or more are hashed one at a time by the library.
+LONG_SPAN = 128
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << U64(by) | x >> U64(64 - by)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, below: int = LONG_SPAN) -> np.ndarray:
+    """64-bit hashes of spans of a byte buffer: eight bytes a step in numpy for spans below `below` bytes, XXH64 beyond.
+
+    The steps are XXH64's own for the last bytes of an input, so with below = 32 every hash is XXH64 itself. They are not
+    linear, so no plain family of texts collides, as it does under a polynomial modulo 2^64.
+    """
+    data = np.concatenate([data, np.zeros(8, np.uint8)])
+    size = ends - starts
+    out = U64(seed) + P5 + size.astype(U64)
+    eights = np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,))
+    at = starts.copy()
+    short = np.flatnonzero((size >= 8) & (size < below))
+    for lane in range(below // 8):
+        short = short[size[short] >= 8 * (lane + 1)]
+        if not len(short):
+            break
+        out[short] = _turned(out[short] ^ _turned(eights[at[short]] * P2, 31) * P1, 27) * P1 + P4
+        at[short] += 8
+    rows = np.flatnonzero((size & 7) >= 4)
+    out[rows] = _turned(out[rows] ^ (eights[at[rows]] & U64(0xFFFFFFFF)) * P1, 23) * P2 + P3
+    at[rows] += 4
+    for last in range(3):
+        rows = np.flatnonzero((size & 3) > last)
+        out[rows] = _turned(out[rows] ^ data[at[rows] + last] * P5, 11) * P1
+    out ^= out >> U64(33)
+    out *= P2
+    out ^= out >> U64(29)
+    out *= P3
+    out ^= out >> U64(32)
+    view = memoryview(data).cast("B")
+    for i in np.flatnonzero(size >= below).tolist():
+        out[i] = xxhash.xxh64_intdigest(view[starts[i] : ends[i]], seed)
+    return out
 
 
 def shingles(hashes: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

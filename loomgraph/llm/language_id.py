@@ -10,7 +10,10 @@ has one small probability in every language. The learned sample is bounded by a
 counting and the passes over words run on executors, and the driver gets at most a number for each language and piece.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; so is every text if nothing can be learned. Rows
-with a null lang or doc_id teach nothing. Repeated rows give repeated results.
+with a null lang or doc_id teach nothing. Repeated rows give repeated results; of languages that are equally likely the
+first by name is taken. Only doc_id, text and lang are read, other columns are ignored. An empty table gives no rows. A very
+long text is a chunk of its own (some 20 bytes of memory for each letter); a word of very many letters takes about 10
+microseconds a letter. The model is a number for each piece and language, so languages should be counted in hundreds.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ MOST_DOCUMENTS = 1500
 ROUNDS = 3
 SMOOTHING = 0.05
 UNKNOWN = 1e-8
-#: Longer words take the pass that rescales at each position.
+#: Longer words take the pass over logarithms, where nothing underflows; the sum is the same.
 WIDEST = 32
+#: Parts of one that expected counts are rounded to.
+SHARES = 1 << 20
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 
 
@@ -128,21 +133,47 @@ def backward(lattice: dict, rows: int, width: int, p: np.ndarray) -> np.ndarray:
     return beta
 
 
+def splits_of(pieces: Pieces, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and number (-1: an unknown letter) of every piece in one long word, all places at once, by their ends."""
+    found, live, key = [], np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+    for length in range(1, min(pieces.longest, len(codes)) + 1):
+        inside = live + length <= len(codes)
+        live, key = live[inside], key[inside]
+        key = key * np.uint64(C.BASE) + codes[live + length - 1] + np.uint64(1)
+        value = pieces.find(key)
+        use = value >= 0 if length > 1 else np.ones(len(live), bool)
+        found.append((live[use], live[use] + length, np.maximum(value[use], -1)))
+        live, key = live[value != -2], key[value != -2]
+    start, end, piece = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(end, kind="stable")
+    return start[order], end[order], piece[order]
+
+
+def log_sums(start: np.ndarray, end: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Log of the summed weights of all ways from place 0 to each place (steps by their ends), without underflow."""
+    out = np.zeros((n + 1, weight.shape[1]))
+    bounds = np.searchsorted(end, np.arange(1, n + 2)).tolist()
+    for place in range(1, n + 1):
+        a, b = bounds[place - 1], bounds[place]
+        here = (np.exp(out[start[a:b]] - out[place - 1]) * weight[a:b]).sum(axis=0)
+        out[place] = out[place - 1] + np.log(here)
+    return out
+
+
 def log_long(pieces: Pieces, codes: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Log probability of one very long word by language; the window of prefixes is rescaled at each position."""
-    text = codes.astype("<u4").tobytes().decode("utf-32-le")
-    window, log = [np.ones(p.shape[1])], np.zeros(p.shape[1])
-    for end in range(1, len(text) + 1):
-        here = np.zeros(p.shape[1])
-        for length in range(1, min(pieces.longest, end) + 1):
-            number = pieces.number.get(text[end - length : end], -1 if length == 1 else None)
-            if number is not None:
-                here += window[-length] * p[number]
-        window = [*window[-pieces.longest :], here]
-        scale = np.maximum(window[-1], 1e-300)
-        log += np.log(scale)
-        window = [x / scale for x in window]
-    return log
+    """Log probability of one long word by language."""
+    start, end, piece = splits_of(pieces, codes)
+    return log_sums(start, end, p[piece], len(codes))[-1]
+
+
+def expected_long(pieces: Pieces, codes: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of one long word and how often each is expected, by one language's probabilities."""
+    start, end, piece = splits_of(pieces, codes)
+    n, weight = len(codes), p[piece][:, None]
+    ahead = log_sums(start, end, weight, n)[:, 0]
+    order = np.argsort(n - start, kind="stable")
+    behind = log_sums(n - end[order], n - start[order], weight[order], n)[:, 0]
+    return piece, np.exp(ahead[start] + np.log(weight[:, 0]) + behind[n - end] - ahead[-1])
 
 
 def _letters() -> np.ndarray:
@@ -166,10 +197,7 @@ class Words:
         starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         offsets = np.cumsum([0] + [len(t) + 1 for t in lowered])
         self.firsts = np.searchsorted(starts, offsets)
-        keys = C.mixed(codes.astype(np.uint64) + np.uint64(1))
-        step = C._powers(C.BASE, len(codes))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(keys * step)])
-        hashes = C.mixed((sums[ends] - sums[starts]) * C._powers(C.BASE_INVERSE, len(codes))[starts] + (ends - starts).astype(np.uint64))
+        hashes = C.span_hashes(codes.view(np.uint8), 4 * starts, 4 * ends)
         _, at, self.code = np.unique(hashes, return_index=True, return_inverse=True)
         self.codes, self.starts, self.sizes = codes, starts[at], (ends - starts)[at]
 
@@ -197,20 +225,24 @@ def log_words(pieces: Pieces, found: Words, p: np.ndarray) -> np.ndarray:
 
 
 def expected(pieces: Pieces, texts: list[str], language: np.ndarray, weight: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Expected count of each piece by language, for words of at most WIDEST letters."""
-    total = np.zeros_like(p)
+    """Expected count of each piece by language, each share rounded to 1 / SHARES: whole numbers have one sum in any order."""
+    total = np.zeros(p.shape, np.int64)
     sizes = np.array([len(t) for t in texts])
+    whole = lambda x: np.rint(x * SHARES).astype(np.int64)
     for size in np.unique(sizes).tolist():
-        if size + 1 > WIDEST:
-            continue
         rows = np.flatnonzero(sizes == size)
         codes = np.frombuffer("".join(MARK + texts[r] for r in rows.tolist()).encode("utf-32-le"), np.uint32).reshape(len(rows), size + 1).astype(np.uint64)
-        lattice = pieces.lattice(codes)
         own = language[rows]
+        if size + 1 > WIDEST:
+            for word, name, n in zip(codes, own.tolist(), weight[rows].tolist()):
+                piece, share = expected_long(pieces, word, p[:, name])
+                np.add.at(total, (piece, name), whole(n * share))
+            continue
+        lattice = pieces.lattice(codes)
         alpha, beta = (f(lattice, len(rows), size + 1, p)[:, np.arange(len(rows)), own] for f in (forward, backward))
         share = weight[rows] / np.maximum(alpha[-1], 1e-300)
         for (start, length), (at, piece) in lattice.items():
-            np.add.at(total, (piece, own[at]), share[at] * alpha[start][at] * p[piece, own[at]] * beta[start + length][at])
+            np.add.at(total, (piece, own[at]), whole(share[at] * alpha[start][at] * p[piece, own[at]] * beta[start + length][at]))
     return total
 
 
@@ -248,17 +280,17 @@ def learn(docs: DataFrame, path: str, most: int = MOST_DOCUMENTS, rounds: int =
         now = spark.sparkContext.broadcast(p)
 
         def passes(batches, now=now):
-            total = np.zeros_like(now.value)
+            total = np.zeros(now.value.shape, np.int64)
             for batch in batches:
                 own = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
                 total += expected(known.value, batch.column("word").to_pylist(), own, batch.column("n").to_numpy().astype(float), now.value)
             piece, language = np.nonzero(total[:-1])
             yield pa.RecordBatch.from_pydict({"piece": pa.array(piece), "language": pa.array(language), "n": pa.array(total[piece, language])})
 
-        got = table.mapInArrow(passes, "piece bigint, language bigint, n double").groupBy("piece", "language").agg(F.sum("n").alias("n")).toPandas()
+        got = table.mapInArrow(passes, "piece bigint, language bigint, n bigint").groupBy("piece", "language").agg(F.sum("n").alias("n")).toPandas()
         p = np.full_like(p, SMOOTHING)
         p[-1] = 0
-        p[got["piece"].to_numpy(), got["language"].to_numpy()] += got["n"].to_numpy()
+        p[got["piece"].to_numpy(), got["language"].to_numpy()] += got["n"].to_numpy() / SHARES
         p /= p.sum(axis=0)
         p[-1] = UNKNOWN
     return languages, p

@@ -52,8 +52,7 @@ def covered(mask: np.ndarray, n: int, total: int) -> np.ndarray:
 
 def measure(texts: C.Texts) -> dict[str, np.ndarray]:
     starts, ends, firsts = C.words(texts)
-    hashes = C.SpanHash(texts.data)
-    word, doc_of = hashes.of(starts, ends), np.repeat(np.arange(texts.n), np.diff(firsts))
+    word, doc_of = C.span_hashes(texts.data, starts, ends), np.repeat(np.arange(texts.n), np.diff(firsts))
     points = np.zeros(len(texts.data) + 1, np.int64)
     np.cumsum((texts.data & 0xC0) != 0x80, out=points[1:])
     chars = points[ends] - points[starts]
@@ -75,7 +74,7 @@ def measure(texts: C.Texts) -> dict[str, np.ndarray]:
     before = np.concatenate([[0], np.cumsum(~C.SPACE[texts.data])])
     solid = before[end] > before[begin]
     own = np.repeat(np.arange(texts.n), np.diff(line_firsts))
-    key = hashes.of(begin, end) ^ salt[own]
+    key = C.span_hashes(texts.data, begin, end) ^ salt[own]
     at = np.flatnonzero(solid)
     later = np.zeros(len(key), bool)
     order = at[np.argsort(key[at], kind="stable")]

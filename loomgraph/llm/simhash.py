@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,44 +27,10 @@ from loomgraph.llm import common as C
 from loomgraph.operators.components import connected_components
 
 WORDS, SEED, DISTANCE = 3, 42, 3
-P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 #: Distinct fingerprints that share a half from which on it is indexed finer.
 CROWD = 1000
 
 
-def _turned(x: np.ndarray, by: int) -> np.ndarray:
-    return x << np.uint64(by) | x >> np.uint64(64 - by)
-
-
-def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """XXH64 of spans of a buffer: spans below 32 bytes together in numpy, longer ones by the library."""
-    data = np.concatenate([data, np.zeros(8, np.uint8)])
-    size = ends - starts
-    out = np.uint64(seed) + P5 + size.astype(np.uint64)
-    eights = np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,))
-    at, at4 = starts.copy(), None
-    for lane in range(3):
-        rows = np.flatnonzero((size >= 8 * (lane + 1)) & (size < 32))
-        out[rows] = _turned(out[rows] ^ _turned(eights[at[rows]] * P2, 31) * P1, 27) * P1 + P4
-        at[rows] += 8
-    rows = np.flatnonzero((size & 7) >= 4)
-    out[rows] = _turned(out[rows] ^ (eights[at[rows]] & np.uint64(0xFFFFFFFF)) * P1, 23) * P2 + P3
-    at4 = at
-    at4[rows] += 4
-    for last in range(3):
-        rows = np.flatnonzero((size & 3) > last)
-        out[rows] = _turned(out[rows] ^ data[at4[rows] + last] * P5, 11) * P1
-    out ^= out >> np.uint64(33)
-    out *= P2
-    out ^= out >> np.uint64(29)
-    out *= P3
-    out ^= out >> np.uint64(32)
-    view = memoryview(data).cast("B")
-    for i in np.flatnonzero(size >= 32).tolist():
-        out[i] = xxhash.xxh64_intdigest(view[starts[i] : ends[i]], seed)
-    return out
-
-
 def spaced(texts: C.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words with one space between, lower-cased: the buffer, each word's start and end, words before each document."""
     starts, ends, firsts = C.words(texts)
@@ -82,7 +47,7 @@ def fingerprints_of(texts: C.Texts) -> np.ndarray:
     n_shingles = np.where(count > 0, np.maximum(count - WORDS + 1, 1), 0)
     first = C.ragged(firsts[:-1], n_shingles)
     last = np.minimum(first + WORDS - 1, np.repeat(firsts[1:], n_shingles) - 1)
-    hashes = xxh64(data, starts[first], ends[last])
+    hashes = C.span_hashes(data, starts[first], ends[last], SEED, below=32)
     out = np.zeros(texts.n, np.uint64)
     some = np.flatnonzero(n_shingles)
     if len(some):

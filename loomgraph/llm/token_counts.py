@@ -145,7 +145,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     def work(batch: pa.RecordBatch) -> dict:
         texts = C.Texts.of(batch.column("text"))
         starts, ends, firsts = C.words(texts)
-        _, at, code = np.unique(C.SpanHash(texts.data).of(starts, ends), return_index=True, return_inverse=True)
+        _, at, code = np.unique(C.span_hashes(texts.data, starts, ends), return_index=True, return_inverse=True)
         each = automaton.value.count(texts.data, starts[at], ends[at])[code]
         longest = np.zeros(texts.n, np.int64)
         if len(each):
