@@ -259,7 +259,7 @@ def test_rows_of_one_document_and_hot_passages(spark):
 def test_a_rewritten_sentence_parts_no_long_passage():
     a = common.mixed(np.arange(1, 401, dtype=np.uint64))
     b = np.concatenate([a[:200], common.mixed(np.arange(1000, 1020, dtype=np.uint64)), a[220:]])
-    assert compact_windows.passages(a, b, [50]) == [(0, 399, 0, 399, 380 / 420)]
+    assert compact_windows.passages(a, b, np.array([50]), np.arange(len(b))) == [(0, 399, 0, 399, 380 / 420)]
 
 
 def test_compact_windows_cover_every_subsequence_once():
