@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.plans.session import checkpointed  # noqa: F401  (the operators here use it)
+from loomgraph.plans.session import checkpointed, written  # noqa: F401  (the operators here use them)
 
 #: Bytes of text that one array operation sees at most (a single longer document is a chunk of its own).
 CHUNK_BYTES = 2 << 20

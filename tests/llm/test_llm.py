@@ -253,7 +253,12 @@ def test_rows_of_one_document_and_hot_passages(spark):
     passage = fresh(60)
     rows = [(i, " ".join(fresh(20) + passage + fresh(20))) for i in range(400)] + [(0, " ".join(passage + fresh(5))), (None, " ".join(passage)), (7000, " ".join(passage[:49]))]
     found = compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"] for r in found} == set(range(1, 400)) and 0 in {r["match_doc_id"] for r in found}
+    assert {r["doc_id"] for r in found} | {r["match_doc_id"] for r in found} == set(range(400))
+    class_of = {i: i for i in range(400)}
+    for r in found:
+        a, b = class_of[r["doc_id"]], class_of[r["match_doc_id"]]
+        class_of = {i: min(a, b) if c in (a, b) else c for i, c in class_of.items()}
+    assert set(class_of.values()) == {0} and len(found) < 400 * 10
 
 
 def test_a_rewritten_sentence_parts_no_long_passage():
