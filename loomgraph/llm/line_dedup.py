@@ -37,8 +37,10 @@ NO_ID = -(1 << 63)
 class Shard:
     """Minimal perfect hash of distinct 64-bit keys, and the arrays behind it."""
 
-    def __init__(self, levels: list[np.ndarray], fingerprints: np.ndarray, counts: np.ndarray, keepers: np.ndarray):
+    def __init__(self, levels: list[np.ndarray], fingerprints: np.ndarray, counts: np.ndarray, keepers: np.ndarray, clashes: tuple[np.ndarray, ...] | None = None):
+        """clashes: keys, fingerprints, counts and keepers of what shares its key with another entry; hardly ever any."""
         self.levels, self.fingerprints, self.counts, self.keepers = levels, fingerprints, counts, keepers
+        self.clashes = clashes or (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64))
         words = np.concatenate(levels) if levels else np.zeros(0, np.uint64)
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
         self.words, self.starts = words, np.cumsum([0] + [len(x) for x in levels])
@@ -48,7 +50,7 @@ class Shard:
         return C.mixed(keys + np.uint64((level + 1) * C.BASE & (2**64 - 1))) % np.uint64(64 * words)
 
     @classmethod
-    def build(cls, keys: np.ndarray, fingerprints: np.ndarray, counts: np.ndarray, keepers: np.ndarray) -> Shard:
+    def build(cls, keys: np.ndarray, fingerprints: np.ndarray, counts: np.ndarray, keepers: np.ndarray, clashes: tuple[np.ndarray, ...] | None = None) -> Shard:
         levels: list[np.ndarray] = []
         rest = keys
         while len(rest):
@@ -63,7 +65,7 @@ class Shard:
         at = empty.index(keys)
         order = np.empty(len(keys), np.int64)
         order[at] = np.arange(len(keys))
-        return cls(levels, fingerprints[order], counts[order], keepers[order])
+        return cls(levels, fingerprints[order], counts[order], keepers[order], clashes)
 
     def index(self, keys: np.ndarray) -> np.ndarray:
         """The index of each key of the set (another key gets any index, or -1)."""
@@ -80,21 +82,28 @@ class Shard:
             todo = todo[~hit]
         return out
 
-    def keeper_of(self, keys: np.ndarray, fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key is in the set, and the largest doc_id that holds it."""
+    def keeper_of(self, keys: np.ndarray, fingerprints: np.ndarray, documents: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is in the set with a count of so many documents, and the largest doc_id that holds it."""
         at = self.index(keys)
         if not len(self.fingerprints):
             return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        inside = (at >= 0) & (self.fingerprints[at] == fingerprints)
-        return inside, self.keepers[at]
+        inside = (at >= 0) & (self.fingerprints[at] == fingerprints) & (self.counts[at] >= documents)
+        keepers = self.keepers[at]
+        for key, fingerprint, n, keeper in zip(*(x.tolist() for x in self.clashes)):
+            hit = (keys == key) & (fingerprints == fingerprint) & (n >= documents)
+            inside, keepers = inside | hit, np.where(hit, keeper, keepers)
+        return inside, keepers
 
     def columns(self) -> dict[str, bytes]:
-        return {"sizes": np.array([len(x) for x in self.levels], np.int64).tobytes(), "bits": self.words.tobytes(), "fingerprints": self.fingerprints.tobytes(), "counts": self.counts.tobytes(), "keepers": self.keepers.tobytes()}
+        own = {"sizes": np.array([len(x) for x in self.levels], np.int64), "bits": self.words, "fingerprints": self.fingerprints, "counts": self.counts, "keepers": self.keepers}
+        return {k: x.tobytes() for k, x in own.items()} | {"clashes": b"".join(x.astype("<i8" if i > 1 else "<u8").tobytes() for i, x in enumerate(self.clashes))}
 
     @classmethod
     def of(cls, row) -> Shard:
         sizes, words = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["bits"], np.uint64)
-        return cls(np.split(words, np.cumsum(sizes)[:-1]), np.frombuffer(row["fingerprints"], np.uint64), np.frombuffer(row["counts"], np.int32), np.frombuffer(row["keepers"], np.int64))
+        keys, marks, counts, keepers = np.frombuffer(row["clashes"], np.int64).reshape(4, -1)
+        clashes = keys.view(np.uint64), marks.view(np.uint64), counts.astype(np.int32), keepers
+        return cls(np.split(words, np.cumsum(sizes)[:-1]), np.frombuffer(row["fingerprints"], np.uint64), np.frombuffer(row["counts"], np.int32), np.frombuffer(row["keepers"], np.int64), clashes)
 
 
 def long_keys(texts: C.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -134,12 +143,15 @@ def build_index(docs: DataFrame) -> tuple[DataFrame, int]:
     n = max(1, -(-keys.count() // SHARD_KEYS))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("hi")
-        arrays = Shard.build(group["hi"].to_numpy().view(np.uint64), group["lo"].to_numpy().view(np.uint64), group["n"].to_numpy().astype(np.int32), group["keeper"].to_numpy())
-        return pd.DataFrame([{"shard": group["shard"].iloc[0], **arrays.columns()}])
+        again = group["hi"].duplicated()  # keys that share their first 64 bits with another
+        parts = [
+            (part["hi"].to_numpy().view(np.uint64), part["lo"].to_numpy().view(np.uint64), part["n"].to_numpy().astype(np.int32), part["keeper"].to_numpy())
+            for part in (group[~again], group[again])
+        ]
+        return pd.DataFrame([{"shard": group["shard"].iloc[0], **Shard.build(*parts[0], parts[1]).columns()}])
 
     sharded = keys.withColumn("shard", F.pmod(F.col("hi"), F.lit(n)).cast("int"))
-    schema = "shard int, sizes binary, bits binary, fingerprints binary, counts binary, keepers binary"
+    schema = "shard int, sizes binary, bits binary, fingerprints binary, counts binary, keepers binary, clashes binary"
     return C.checkpointed(sharded.groupBy("shard").applyInPandas(build, schema)), n
 
 
@@ -158,7 +170,7 @@ def probe(docs: DataFrame, shards: dict[int, Shard], n: int, dropped: str) -> Da
         for shard in np.unique(shard_of).tolist():
             if shard in index:
                 rows = np.flatnonzero(shard_of == shard)
-                inside, keeper = index[shard].keeper_of(keys[rows, 0], keys[rows, 1])
+                inside, keeper = index[shard].keeper_of(keys[rows, 0], keys[rows, 1], DOCUMENTS)
                 gone[at[rows]] = inside & (keeper != own[rows])
         n_gone = C.sums(gone, firsts)
         kept = batch.column("text").fill_null("").to_pylist()
@@ -179,7 +191,7 @@ def drop_lines(docs: DataFrame, dropped: str = "n_dropped") -> DataFrame:
     if dropped in docs.columns:
         raise ValueError(f"the input has a column {dropped}")
     index, n = build_index(docs)
-    sizes = F.length("sizes") + F.length("bits") + F.length("fingerprints") + F.length("counts") + F.length("keepers")
+    sizes = F.length("sizes") + F.length("bits") + F.length("fingerprints") + F.length("counts") + F.length("keepers") + F.length("clashes")
     groups, held = [[]], 0
     for row in index.select("shard", sizes.alias("bytes")).orderBy("shard").toLocalIterator():
         if groups[-1] and held + row["bytes"] > GROUP_BYTES:

@@ -7,15 +7,20 @@ window over the table of sources).
 Selection (Efraimidis and Spirakis): a document with quality weight w gets the exponential key -ln(u) / w, u by a hash
 of its id; the least keys are a weighted sample without replacement. A source's target is first filled with complete epochs,
 then with the documents of least key whose middle word still fits in what remains. The order within a source is never
-sorted whole: word sums of 1024 ranges of the key find the range in which the budget ends, only this range is sorted
-for its prefix sums, and every document then compares its own key with its source's cutoff.
-
-Nulls: a null text has no words; a null source is a source; a null doc_id hashes as the empty text. Repeated rows have
-one key and are taken together. A source without words has the target 0.
+sorted whole: word sums of 1024 ranges of the key find the range in which the budget ends, which is parted again until it
+has few entries (rows of one key, id and size are one entry); only these are sorted for their prefix sums. Of equal rows
+at the end as many are taken as fit, by their place in the checkpointed table. Every row then compares itself with its source's cutoff.
+
+Nulls: a null text has no words; a null source is a source; a null doc_id hashes as the empty text. Rows with one key are ordered by
+doc_id (null last), then size, then their place; rows equal in these are interchangeable, so reruns give the same rows. A source
+without words has the target 0. An empty table gives no rows. mix reads doc_id, text and source only, mixed_rows keeps all columns.
+Only the number of words of a text is kept, so very long texts cost no more than others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +31,8 @@ SYMBOL = r"[#*$%&|<>!]"
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, EPOCHS = 1.5, 2
 RANGES = 1024
+#: Entries of the range that is sorted, at most (if keys can part it further), and rounds of parting.
+ENDING, ROUNDS = 100_000, 12
 #: A table of sources of more rows is joined by shuffling instead of by broadcast.
 BROADCAST_SOURCES = 100_000
 
@@ -46,13 +53,17 @@ def exponential_key(doc_id: Column, weight: Column) -> Column:
     return -F.log(uniform) / weight
 
 
-def range_of(key: Column) -> Column:
-    return F.floor((F.lit(1.0) - F.exp(-key)) * RANGES).cast("int")
+def sized(docs: DataFrame, keep: Column | None = None) -> DataFrame:
+    """doc_id, source, size, key and place (and `keep`) of every row, checkpointed, so that a row's place stays its own."""
+    key = exponential_key(F.col("doc_id"), quality_weight(F.col("text")))
+    kept = [] if keep is None else [keep]
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", size_of(F.col("text")).alias("size"), key.alias("key"), *kept)
+    return checkpointed(own.withColumn("place", F.monotonically_increasing_id()))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    key = exponential_key(F.col("doc_id"), quality_weight(F.col("text")))
-    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("key")).withColumn("range", range_of(F.col("key")))
+def entry() -> Column:
+    """What orders the rows of a source; rows equal in it are interchangeable."""
+    return F.struct("key", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("id"), "size")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -72,48 +83,75 @@ def targets(sizes: DataFrame) -> DataFrame:
     return table.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(share).alias("target"))
 
 
+def same_source(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def ending_entries(own: DataFrame, goal: DataFrame, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(of, before, rest, low, e, size, n): the entries among which each source's rest ends, n rows each, their least key, and the words before them."""
+    keys = own.groupBy("source").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    state = keys.join(hint(goal.select(F.col("source").alias("of"), "rest")), same_source("source", "of")).select("of", "rest", "low", "high", F.lit(0).cast("bigint").alias("before"))
+    inside = F.col("key").between(F.col("low"), F.col("high"))
+    for _ in range(ROUNDS):
+        state = checkpointed(state)
+        held = own.join(hint(state), same_source("source", "of")).where(inside)
+        part = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * RANGES), F.lit(RANGES - 1))).otherwise(0).cast("int")
+        # a range's own least and greatest key bound the next round, so no rounding can lose a row
+        ranges = held.groupBy("of", "rest", "before", part.alias("range")).agg(F.sum("size").alias("words"), F.approx_count_distinct(entry()).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+        so_far = F.sum("words").over(Window.partitionBy("of").orderBy("range")) - F.col("words")
+        found = checkpointed(ranges.withColumn("upto", F.col("before") + so_far).where("upto <= rest AND upto + words > rest"))
+        state = found.select("of", "rest", "low", "high", F.col("upto").alias("before"))
+        if found.where((F.col("n") > ENDING) & (F.col("high") > F.col("low"))).isEmpty():
+            break
+    held = own.join(hint(checkpointed(state)), same_source("source", "of")).where(inside)
+    return held.groupBy("of", "before", "rest", "low", entry().alias("e"), "size").agg(F.count("*").alias("n"))
+
+
+def places_of(own: DataFrame, last: DataFrame, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(at, last_place): of the rows equal to each source's last entry, the place of the m-th. Rows are counted by partition, and numbered in one."""
+    tied = own.join(hint(last), same_source("source", "of") & (entry() == F.col("last_entry"))).select("of", "m", "place", F.shiftright("place", 33).alias("partition"))
+    counts = tied.groupBy("of", "m", "partition").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("of").orderBy("partition"))
+    there = counts.withColumn("skip", upto - F.col("n")).where("skip < m AND skip + n >= m").select(F.col("of").alias("at"), F.col("partition").alias("in_partition"), "skip")
+    inside = tied.join(hint(there), same_source("of", "at") & (F.col("partition") == F.col("in_partition")))
+    number = F.row_number().over(Window.partitionBy("at").orderBy("place"))
+    return inside.withColumn("number", number + F.col("skip")).where("number = m").select("at", F.col("place").alias("last_place"))
+
+
 def cutoffs(own: DataFrame) -> DataFrame:
-    """One row for each source: its target, complete epochs, and the last range and key that the fraction takes."""
+    """One row for each source: its target, complete epochs, and the last entry and place that the fraction takes."""
     goal = targets(own)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     goal = checkpointed(goal.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
-    few = goal.count() <= BROADCAST_SOURCES
-    hint = F.broadcast if few else lambda df: df
-    named = goal.select(F.col("source").alias("of"), "rest")
-    ranges = own.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("range"))
-    ending = ranges.withColumn("before", upto - F.col("words")).join(hint(named), F.col("source").eqNullSafe(F.col("of")))
-    ending = ending.where("before <= rest AND before + words > rest").select("of", F.col("range").alias("last_range"), "before", "rest")
-    ending = checkpointed(ending)
-    inside = own.join(hint(ending), F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("last_range")))
-    so_far = F.sum("size").over(Window.partitionBy("of").orderBy("key", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
-    fits = inside.withColumn("so_far", so_far).where("before + so_far - size / 2.0D <= rest")
-    last = fits.groupBy("of").agg(F.max("key").alias("last_key")).withColumnRenamed("of", "at")
-    ends = ending.select("of", "last_range").join(last, F.col("of").eqNullSafe(F.col("at")), "left").drop("at")
-    return checkpointed(goal.join(ends, F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "rest"))
+    hint = F.broadcast if goal.count() <= BROADCAST_SOURCES else lambda df: df
+    so_far = F.sum(F.col("size") * F.col("n")).over(Window.partitionBy("of").orderBy("e").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    room = F.col("rest") - F.col("before") - (so_far - F.col("size") * F.col("n"))
+    fit = F.when(F.col("size") > 0, F.floor(room / F.col("size") + 0.5)).when(room >= 0, F.col("n")).otherwise(0)
+    ends = ending_entries(own, goal, hint).withColumn("m", F.least(F.greatest(fit, F.lit(0)), F.col("n")).cast("bigint"))
+    last = ends.groupBy("of").agg(F.min("low").alias("low"), F.max(F.when(F.col("m") > 0, F.struct("e", "m"))).alias("l"))
+    last = checkpointed(last.select("of", "low", F.col("l.e").alias("last_entry"), "l.m"))
+    table = last.join(hint(places_of(own, last, hint)), same_source("of", "at"), "left").select("of", "low", "last_entry", "last_place")
+    return checkpointed(goal.join(hint(table), same_source("source", "of"), "left").drop("of", "rest"))
 
 
 def copies(own: DataFrame, cuts: DataFrame) -> DataFrame:
-    """own with its source's source_size and target, and how many copies of each document the mix takes."""
+    """own with its source's source_size and target, and how many copies of each row the mix takes."""
     table = cuts.withColumnRenamed("source", "of")
     table = F.broadcast(table) if cuts.count() <= BROADCAST_SOURCES else table
-    taken = (F.col("range") < F.col("last_range")) | ((F.col("range") == F.col("last_range")) & (F.col("key") <= F.col("last_key")))
-    return own.join(table, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", F.col("epochs") + F.coalesce(taken, F.lit(False)).cast("bigint"))
+    taken = F.coalesce(F.col("key") < F.col("low"), F.lit(False)) | (entry() < F.col("last_entry")) | ((entry() == F.col("last_entry")) & (F.col("place") <= F.col("last_place")))
+    return own.join(table, same_source("source", "of")).withColumn("copies", F.col("epochs") + F.coalesce(taken, F.lit(False)).cast("bigint"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken (words of a document that the mix takes, repeats counted)."""
-    own = checkpointed(sized(docs))
+    own = sized(docs)
     return copies(own, cutoffs(own)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    cuts = cutoffs(checkpointed(sized(docs)))
-    names = docs.columns
-    key = exponential_key(F.col("doc_id"), quality_weight(F.col("text")))
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "source", key.alias("key")).withColumn("range", range_of(F.col("key")))
-    repeated = copies(held, cuts).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"))
+    own = sized(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    repeated = copies(own, cutoffs(own.drop("row"))).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"))
     return repeated.select("row.*")
 
 
@@ -132,7 +170,7 @@ goals AS (SELECT source, source_size, CASE WHEN "full" THEN cap ELSE (budget - s
   / sum(CASE WHEN "full" THEN 0.0::DOUBLE ELSE weight END) OVER () * weight END AS target FROM leveled),
 epochs AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM goals),
 placed AS (SELECT o.doc_id, o.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
-  sum(o.size) OVER (PARTITION BY o.source ORDER BY o.key, o.doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far
+  sum(o.size) OVER (PARTITION BY o.source ORDER BY o.key, o.doc_id NULLS LAST, o.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far
   FROM own o JOIN epochs e ON o.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN so_far - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM placed
 """

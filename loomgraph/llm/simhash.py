@@ -13,7 +13,9 @@ such halves are asked finer: the key then also holds a 16-bit quarter of the oth
 quarters matches within 1 bit, so only fingerprints alike in 48 bits, or nearly, meet. No pair is lost.
 
 Nulls: a null text, or one without words, has the fingerprint 0, linked like any other. Fewer than 3 words are one
-shingle. A null doc_id takes part and is never the least of its component unless alone (then it is null).
+shingle. A null doc_id takes part and is never the least of its component unless alone (then it is null). Rows that share a doc_id
+are documents of their own, each with its fingerprint; ties of fingerprints are links. An empty table gives no rows. near_dedup reads doc_id
+and text only; one_of_each keeps all columns. A very long text is a chunk of its own, some 100 bytes of memory for each word.
 """
 
 from __future__ import annotations
@@ -107,12 +109,39 @@ def near_pairs(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     return plain.select("src", F.col("fp").alias("dst")).unionAll(fine.select("src", F.col("fp").alias("dst")))
 
 
+def components_of(own: DataFrame) -> DataFrame:
+    """(fp, component, least): the component of every fingerprint of own(doc_id, fp), and the fingerprint's least doc_id."""
+    distinct = C.checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    labels = connected_components(near_pairs(distinct.select("fp")))
+    return distinct.join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (least doc_id reachable over links) of every document."""
     own = C.checkpointed(fingerprints(docs))
-    distinct = C.checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = connected_components(near_pairs(distinct.select("fp")))
-    grouped = distinct.join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    grouped = components_of(own)
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = grouped.join(least, "component").select("fp", "component_id")
     return own.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, of each component one: of least doc_id (null last), and of rows that share it, of least hash over all columns.
+
+    Rows are told apart by two 64-bit hashes over all columns, not by doc_id, so a row of its own stays though
+    another row of its id is a copy. Of rows that are equal in all columns one stays.
+    """
+    every = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    one, two = F.xxhash64(*every), F.xxhash64(F.lit(1), *every)
+
+    def work(batch: pa.RecordBatch) -> dict:
+        marks = fingerprints_of(C.Texts.of(batch.column("text"))).view(np.int64)
+        return {name: batch.column(name) for name in ("doc_id", "one", "two")} | {"fp": pa.array(marks)}
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), one.alias("one"), two.alias("two"), "text")
+    own = C.checkpointed(C.map_texts(rows, "doc_id bigint, one bigint, two bigint, fp bigint", work))
+    counted = own.join(components_of(own).select("fp", "component"), "fp").groupBy("component", "doc_id", "one", "two").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "one", "two", "n"))
+    kept = C.checkpointed(counted.groupBy("component").agg(first.alias("w")).select("w.one", "w.two", "w.n"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), one.alias("one"), two.alias("two")).join(kept, ["one", "two"])
+    return whole.where("n = 1").unionByName(whole.where("n > 1").dropDuplicates(["one", "two"])).select("row.*")

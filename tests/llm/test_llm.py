@@ -28,7 +28,7 @@ HARD = [None, "", " \n\t ", "One", "é日本🎉 A\n\nB", "a" * 3000, "x y " * 9
 def hard(spark, copies: int = 1):
     """Nulls in every column, empty and long texts, ties, repeated rows, and columns named like those that operators add."""
     rows = [(i, t, None if i % 3 else "en", None if i % 4 == 0 else f"s{i % 3}", None, "e", 1, "r") for i, t in enumerate(HARD)]
-    rows += [(None, "no id here", "en", None, 3, None, None, None), (3, "One", "en", "s0", 3, "e", 1, "r"), (3, "One", "en", "s0", 3, "e", 1, "r")]
+    rows += [(None, None, None, None, None, None, None, None), (None, "no id here", "en", None, 3, None, None, None), (3, "One", "en", "s0", 3, "e", 1, "r"), (3, "One", "en", "s0", 3, "e", 1, "r")]
     return spark.createDataFrame(rows * copies, DOCS)
 
 
@@ -332,6 +332,44 @@ def test_mixing_matches_sql_and_its_targets(spark, duck):
     assert all(r["count"] * got[r["doc_id"]]["size"] == got[r["doc_id"]]["taken"] for r in rows)
 
 
+def test_mixing_splits_ties(spark, monkeypatch):
+    rows = [(None, "a b c d e", "x")] * 300 + [(7, "a " * n, "y") for n in range(1, 60)] + [(7, "a b", "y")] * 40 + [(None, None, "z")] * 5 + [(i, "w " * 9 + "#" * (i % 50), None) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    monkeypatch.setattr(mixing, "ENDING", 5)
+    got = mixing.mix(d).collect()
+    by_target = defaultdict(list)
+    for r in got:
+        by_target[r["source_size"], r["target"]].append(r)
+    assert len(got) == len(rows) and len(by_target) == 4
+    for (_, target), own in by_target.items():
+        assert abs(sum(r["taken"] for r in own) - target) <= max((r["size"] for r in own), default=0) / 2 + 1e-6 or not target
+    again = mixing.mix(d.repartition(5)).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    kept = Counter(r["doc_id"] for r in mixing.mixed_rows(d).collect())
+    want = Counter()
+    for r in got:
+        want[r["doc_id"]] += r["taken"] // r["size"] if r["size"] else 0
+    assert all(kept[i] == n for i, n in want.items() if i is not None) and kept[7] == want[7]
+
+
+def test_lines_whose_hashes_clash():
+    keys, marks = np.array([5, 9], np.uint64), np.array([1, 2], np.uint64)
+    shard = line_dedup.Shard.build(keys, marks, np.array([5, 6], np.int32), np.array([70, 80]), (np.array([5, 9], np.uint64), np.array([3, 4], np.uint64), np.array([7, 4], np.int32), np.array([90, 91])))
+    shard = line_dedup.Shard.of(shard.columns())
+    inside, keeper = shard.keeper_of(np.array([5, 5, 9, 9, 5], np.uint64), np.array([1, 3, 2, 4, 9], np.uint64), 5)
+    assert inside.tolist() == [True, True, True, False, False] and keeper[:3].tolist() == [70, 90, 80]
+
+
+def test_one_row_of_each_component(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "s", 1), (5, a, "s", 2), (5, b, "s", 3), (5, b, "s", 3), (5, b, "t", 3), (None, a, "s", 4), (None, c, "s", 5), (None, c, "s", 6), (8, None, "s", 7), (9, "", "s", 8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, row int")
+    got = simhash.one_of_each(d).collect()
+    assert {(r["doc_id"], r["text"]) for r in got} == {(1, a), (5, b), (None, c), (8, None)} and len(got) == 4
+    assert Counter(map(tuple, simhash.one_of_each(d.repartition(3)).collect())) == Counter(map(tuple, got))
+    assert simhash.one_of_each(d.limit(0)).count() == 0
+
+
 def test_repetition_against_brute_force(spark):
     own = texts(spark)
     for r in repetition.repetition(docs(spark)).collect():
@@ -470,6 +508,12 @@ def test_pipeline_stages_against_brute_force(spark):
     assert all(copies[i] * size == taken for i, (size, taken) in mixed.items())
     assert kept["byte_bpe"].count() == sum(copies.values())
     assert set(kept["byte_bpe"].columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+    whole = cp.run(spark, SMALL).collect()
+    assert Counter(map(tuple, whole)) == Counter(map(tuple, kept["byte_bpe"].collect()))
+    decoded = Counter()
+    for i, n in copies.items():
+        decoded[i, hashlib.sha256(dedup[i].encode()).hexdigest()] += n
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in whole) == decoded
 
 
 def test_pipeline_stages_bear_hard_inputs(spark):
