@@ -19,29 +19,32 @@ def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the rule ensemble predicts to be of low quality; the labels come from sf_dir."""
+    """Drops documents that the rule ensemble predicts to be of low quality; the labels come from sf_dir.
+
+    A null text is scored as an empty one, null ids are scored like others, repeated rows alike; an empty table stays empty.
+    """
     model = rule_ensemble.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return rule_ensemble.accepted(docs, model)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that many documents share from all but one of them; a document without lines left keeps an empty text."""
-    return _columns(line_dedup.drop_lines(docs, dropped="lines_dropped_here"), docs)
+    free = next(name for k in range(len(docs.columns) + 1) if (name := f"lines_dropped_{k}") not in docs.columns)
+    return _columns(line_dedup.drop_lines(docs, dropped=free), docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each group of near copies (documents without an id stay, copies of their text aside)."""
-    gone = simhash.near_dedup(docs.select("doc_id", "text")).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Keeps one row of each group of near copies: that of least doc_id (null ids last; equal rows count as copies)."""
+    return simhash.one_of_each(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as its source's target needs it."""
+    """Takes each row as often as its source's target needs it; rows without words are taken as their source's least keys are."""
     return mixing.mixed_rows(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of every row that is left (a null text has no tokens)."""
     return queries.encode_documents(docs)
 
 
