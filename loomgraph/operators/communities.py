@@ -59,6 +59,8 @@ def topic_groups(topic_members: DataFrame, least_members: int = 2, least_shared:
         taken = checkpointed(group.withColumn("seed", F.lit(seed)))
         left = checkpointed(left.join(taken.select("topic"), "topic", "left_anti"))
         done = taken if done is None else done.unionAll(taken)
+    else:
+        raise RuntimeError(f"topics are left after {rounds} rounds")
     return done if done is not None else big.withColumn("seed", F.lit(None).cast("string")).limit(0)
 
 
@@ -66,7 +68,8 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     """Neighbours of each node over all other nodes, edges taken as undirected and single."""
     pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
     degree = pairs.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("degree"))
-    return degree.withColumn("centrality", F.round(F.col("degree") / (F.count("*").over(Window.partitionBy()) - 1), 6))
+    total = F.broadcast(degree.agg(F.count("*").alias("total")))  # one row
+    return degree.crossJoin(total).withColumn("centrality", F.round(F.col("degree") / (F.col("total") - 1), 6)).drop("total")
 
 
 def page_rank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:

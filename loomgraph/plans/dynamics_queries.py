@@ -155,12 +155,12 @@ CLOSED = f"WITH RECURSIVE {DAG}, cl AS (SELECT src, dst FROM dag UNION SELECT cl
 
 @query(CLOSED + " SELECT src AS uid, count(*) AS descendants FROM cl WHERE src NOT IN (SELECT dst FROM dag) GROUP BY src")
 def root_causes(g: Graph) -> DataFrame:
-    return K.roots(_dag(g), depth=12)
+    return K.roots(_dag(g))
 
 
 @query(CLOSED + " SELECT dst AS uid, count(*) AS ancestors FROM cl WHERE dst NOT IN (SELECT src FROM dag) GROUP BY dst")
 def terminal_effects(g: Graph) -> DataFrame:
-    return K.terminals(_dag(g), depth=12)
+    return K.terminals(_dag(g))
 
 
 PATHS = f"WITH RECURSIVE {DAG}, pa AS (SELECT src AS root, dst AS target, weight AS product, weight AS total, 1 AS steps FROM dag WHERE src NOT IN (SELECT dst FROM dag) UNION ALL SELECT root, dag.dst, product * weight, total + weight, steps + 1 FROM pa JOIN dag ON dag.src = target WHERE steps < "
@@ -176,7 +176,7 @@ def root_impact(g: Graph) -> DataFrame:
     return K.path_sums(_roots(g), _dag(g))
 
 
-@query(PATHS + "6), b AS (SELECT root, target, product, row_number() OVER (PARTITION BY root, target ORDER BY total, product) AS k FROM pa) SELECT root AS uid, round(sum(product), 4) AS total FROM b WHERE k = 1 GROUP BY root")
+@query(PATHS + "1000), b AS (SELECT root, target, product, row_number() OVER (PARTITION BY root, target ORDER BY total, product) AS k FROM pa) SELECT root AS uid, round(sum(product), 4) AS total FROM b WHERE k = 1 GROUP BY root")
 def total_impact(g: Graph) -> DataFrame:
     return K.lightest_path_products(_roots(g), _dag(g)).groupBy(F.col("root").alias("uid")).agg(F.round(F.sum("product"), 4).alias("total"))
 
@@ -186,10 +186,10 @@ def causal_chains(g: Graph) -> DataFrame:
     return K.chains(_dag(g))
 
 
-@query(f"WITH RECURSIVE {DAG}, w AS (SELECT dst AS uid, src AS dependent, 1 AS depth FROM dag UNION SELECT w.uid, dag.src, depth + 1 FROM w JOIN dag ON dag.dst = w.dependent WHERE depth < 12), m AS (SELECT uid, dependent, min(depth) AS depth FROM w GROUP BY uid, dependent) SELECT uid, depth AS distance, count(*) AS dependents FROM m GROUP BY uid, depth")
+@query(f"WITH RECURSIVE {DAG}, w AS (SELECT dst AS uid, src AS dependent, 1 AS depth FROM dag UNION SELECT w.uid, dag.src, depth + 1 FROM w JOIN dag ON dag.dst = w.dependent), m AS (SELECT uid, dependent, min(depth) AS depth FROM w GROUP BY uid, dependent) SELECT uid, depth AS distance, count(*) AS dependents FROM m GROUP BY uid, depth")
 def dependency_impact(g: Graph) -> DataFrame:
     reverse = _dag(g).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return K.closure(reverse, 12).groupBy(F.col("src").alias("uid"), "distance").agg(F.count("*").alias("dependents"))
+    return K.closure(reverse).groupBy(F.col("src").alias("uid"), "distance").agg(F.count("*").alias("dependents"))
 
 
 @query()

@@ -14,10 +14,10 @@ from loomgraph.plans.registry import query
 NORMAL = r"trim(regexp_replace(regexp_replace(lower(name), '[._-]', '', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(f"""WITH n AS (SELECT label, uid, {NORMAL} AS normal FROM nodes WHERE label IN ('Technology', 'Topic')),
+@query(f"""WITH n AS (SELECT label, uid, {NORMAL} AS normal FROM nodes WHERE label IN ('Technology', 'Person', 'Organization', 'Topic')),
 l AS (SELECT label, normal, min(uid) AS a FROM n GROUP BY label, normal) SELECT n.label, a, uid AS b FROM n JOIN l ON n.label = l.label AND n.normal = l.normal WHERE uid > a""")
 def exact_copies(g: Graph) -> DataFrame:
-    return dedup.exact_copies(g.nodes.where("label IN ('Technology', 'Topic')"))
+    return dedup.exact_copies(g.nodes.where("label IN ('Technology', 'Person', 'Organization', 'Topic')"))
 
 
 @query(f"""WITH n AS (SELECT DISTINCT label, {NORMAL} AS n FROM nodes WHERE label IN ('Technology', 'Topic')),

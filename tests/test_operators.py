@@ -126,3 +126,20 @@ def test_simulation_settles_and_keeps_ranges(spark):
     acts = [simulate.Action("rest", "k", 1, 2, "volatility", ">", 0.1, "volatility", "multiply", 0.5)]
     state, told = simulate.simulate(nodes, edges(spark, ("a", "b"), kind="IMPACTS").unionAll(edges(spark, ("b", "c"), kind="INFLUENCES")), events, acts, 2)
     assert told.count() == 2 and simulate.violations(state, edges(spark, ("a", "b"))).where("n > 0").count() == 0
+
+
+def test_searches_without_a_bound_follow_long_chains(spark):
+    from loomgraph.operators import causal, dedup
+
+    chain = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}", 0.5) for i in range(15)], "src string, dst string, weight double")
+    assert [tuple(r) for r in causal.roots(chain).collect()] == [("n00", 15)]
+    assert [tuple(r) for r in causal.terminals(chain).collect()] == [("n15", 15)]
+    start = spark.createDataFrame([("n00",)], "uid string")
+    found = {r["target"]: r["product"] for r in causal.lightest_path_products(start, chain).collect()}
+    assert found["n15"] == 0.5**15 and len(found) == 15
+    pairs = spark.createDataFrame([(f"m{i:02}", f"m{i + 1:02}", 1.0 - i / 100) for i in range(12)], "a string, b string, score double")
+    assert dedup.greedy_merges(pairs).count() == 6
+    import pytest
+
+    with pytest.raises(RuntimeError):
+        dedup.greedy_merges(pairs, rounds=2)
