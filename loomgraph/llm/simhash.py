@@ -140,8 +140,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), one.alias("one"), two.alias("two"), "text")
     own = C.checkpointed(C.map_texts(rows, "doc_id bigint, one bigint, two bigint, fp bigint", work))
-    counted = own.join(components_of(own).select("fp", "component"), "fp").groupBy("component", "doc_id", "one", "two").agg(F.count("*").alias("n"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "one", "two", "n"))
-    kept = C.checkpointed(counted.groupBy("component").agg(first.alias("w")).select("w.one", "w.two", "w.n"))
+    counted = own.groupBy("fp", "doc_id", "one", "two").agg(F.count("*").alias("n"))
+    first = counted.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "one", "two", "n")).alias("w"))  # so no join meets all copies of a text
+    first = first.join(components_of(own).select("fp", "component"), "fp").groupBy("component").agg(F.min("w").alias("w"))
+    kept = C.checkpointed(first.select("w.one", "w.two", "w.n"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), one.alias("one"), two.alias("two")).join(kept, ["one", "two"])
     return whole.where("n = 1").unionByName(whole.where("n > 1").dropDuplicates(["one", "two"])).select("row.*")
