@@ -20,7 +20,7 @@ THREATS = {
     "exfil_curl": r"curl\s+[^\n]*\$\{?\w*(KEY|TOKEN|SECRET|PASSWORD|CREDENTIAL|API)",
     "read_secrets": r"cat\s+[^\n]*(\.env|credentials|\.netrc|\.pgpass)",
 }
-INVISIBLE = ["200b", "200c", "200d", "2060", "feff", "202a", "202b", "202c", "202d", "202e"]
+INVISIBLE = ["\u200b", "\u200c", "\u200d", "\u2060", "\ufeff", "\u202a", "\u202b", "\u202c", "\u202d", "\u202e"]
 #: Alias groups, canonical name first.
 ALIASES = {
     "javascript": ["js", "ecmascript", "es6", "es2015", "es2020", "es2023"],
@@ -53,11 +53,22 @@ INTENTS = {
     "explore": r"(?i)탐색|explore|관련|연결|구조",
 }
 HARD_WORDS = ["compare", "explain", "analyze", "why", "how", "trade-off", "tradeoff", "difference", "pros and cons", "summarize", "summarise", "비교", "설명", "분석", "왜", "어떻게", "차이", "요약"]
-KEYWORD_STOPS = (
-    "the a an is in on at of to for and or not what how why when where who about with from are was were be been being 이 가 은 는 을 를 의 에 에서 로 으로 와 과 하다 있다 없다"
-).split()
-PHRASE_STOPS = "the a an is are was were of in for to with and or not that this what how why which when".split()
-QUERY_NOISE = "AI LLM API CLI CPU GPU RAM OS IDE URL SDK HTTP JSON XML HTML CSS UTC PDF CSV YAML The This That One All Some New Old".split()
+KEYWORD_STOPS = [
+    "the", "a", "an", "is", "in", "on", "at", "of", "to", "for", "and", "or", "not", "what",
+    "how", "why", "when", "where", "who", "about", "with", "from", "are", "was", "were", "be", "been", "being",
+    "이", "가", "은", "는", "을", "를", "의", "에", "에서", "로", "으로", "와", "과", "하다",
+    "있다", "없다",
+]
+PHRASE_STOPS = [
+    "은", "는", "이", "가", "의", "를", "을", "에", "에서", "로", "으로", "와", "과", "도",
+    "만", "부터", "까지", "에게", "한테", "에서의", "으로의", "이란", "란", "the", "a", "an", "is", "are",
+    "was", "were", "of", "in", "for", "to", "with", "and", "or", "not", "that", "this", "what", "how",
+    "why", "which", "when", "가장", "어떤", "무엇", "왜", "어떻게", "현재", "최근", "주요",
+]
+QUERY_NOISE = [
+    "AI", "LLM", "API", "CLI", "CPU", "GPU", "RAM", "OS", "IDE", "URL", "SDK", "HTTP", "JSON", "XML",
+    "HTML", "CSS", "UTC", "PDF", "CSV", "YAML", "The", "This", "That", "One", "All", "Some", "New", "Old",
+]
 QUESTION_LIMIT, CONTEXT_LIMIT = 80, 1200
 
 
@@ -97,11 +108,15 @@ def canonical_alias(name: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """Of two names: 1 if equal once normal, 0.95 for aliases, 0.9 for one within the other, else by edit distance."""
-    na, nb = normal_name(a), normal_name(b)
+    return normal_similarity(normal_name(a), normal_name(b), canonical_alias(a) == canonical_alias(b))
+
+
+def normal_similarity(na: Column, nb: Column, aliases: Column) -> Column:
+    """The same of names that are normal already; aliases: whether they are names of one group."""
     short, long = F.least(F.length(na), F.length(nb)), F.greatest(F.length(na), F.length(nb))
     within = (F.contains(na, nb) | F.contains(nb, na)) & (short >= 3) & (long - short <= 3)
     edits = F.lit(1.0) - F.levenshtein(na, nb) / long
-    return F.when(na == nb, 1.0).when(canonical_alias(a) == canonical_alias(b), 0.95).when(within, 0.9).when(long == 0, 0.0).otherwise(edits)
+    return F.when(na == nb, 1.0).when(aliases, 0.95).when(within, 0.9).when(long == 0, 0.0).otherwise(edits)
 
 
 def loosely_same(a: Column, b: Column) -> Column:
@@ -113,14 +128,14 @@ def loosely_same(a: Column, b: Column) -> Column:
 
 def threats(text: Column) -> Column:
     """Ids of all threats found, invisible characters first."""
-    hidden = [F.when(F.contains(text, F.lit(chr(int(c, 16)))), F.lit(f"invisible_unicode_U+{c}")) for c in INVISIBLE]
+    hidden = [F.when(F.contains(text, F.lit(c)), F.lit(f"invisible_unicode_U+{ord(c):04x}")) for c in INVISIBLE]
     found = [F.when(F.regexp_like(text, F.lit("(?i)" + p)), F.lit(k)) for k, p in THREATS.items()]
     return F.array_compact(F.array(*hidden, *found))
 
 
 def cleaned(text: Column) -> Column:
     """The text without invisible characters and with the first match of each threat redacted."""
-    out = F.translate(text, "".join(chr(int(c, 16)) for c in INVISIBLE), "")
+    out = F.translate(text, "".join(INVISIBLE), "")
     for pattern in THREATS.values():
         out = bound(bound(out, _with_match(pattern)), _without_match)
     return out
@@ -176,7 +191,8 @@ def concept_phrases(question: Column, known: list[str] = (), most: int = 3) -> C
     """English words of four letters or more, then Hangul runs of three or more, without stop words and known names."""
     drop = [*PHRASE_STOPS, *[k.lower() for k in known]]
     english = F.filter(F.transform(F.regexp_extract_all(question, F.lit(EDGE + "[a-zA-Z][a-zA-Z-]{3,}" + EDGE), F.lit(0)), F.lower), lambda w: ~w.isin(drop))
-    return F.slice(F.concat(F.array_distinct(english), F.array_distinct(F.regexp_extract_all(question, F.lit("[가-힣]{3,}"), F.lit(0)))), 1, most)
+    hangul = F.filter(F.regexp_extract_all(question, F.lit("[가-힣]{3,}"), F.lit(0)), lambda w: ~w.isin(PHRASE_STOPS))
+    return F.slice(F.concat(F.array_distinct(english), F.array_distinct(hangul)), 1, most)
 
 
 def tech_tokens(text: Column) -> Column:

@@ -12,8 +12,8 @@ from loomgraph.plans.session import checkpointed
 FEW, SALTS = 500_000, 8
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, column: str, few: bool) -> DataFrame:
-    """rows joined with a table of one row for each value of the column, which very many rows may share."""
+def looked_up(rows: DataFrame, table: DataFrame, column: str, few: bool) -> DataFrame:
+    """rows joined with a table of few rows for each value of the column, which very many rows may share."""
     if few:
         return rows.join(F.broadcast(table), column)
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
@@ -33,10 +33,10 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", round
     labels = checkpointed(labels)
     few = labels.count() <= FEW
     for _ in range(rounds):
-        near = _looked_up(both, labels.select(F.col("id").alias("b"), "component"), "b", few).groupBy("a").agg(F.min("component").alias("near"))
+        near = looked_up(both, labels.select(F.col("id").alias("b"), "component"), "b", few).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels["id"] == near["a"]).select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         root = step.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        labels = checkpointed(_looked_up(step, root, "component", few).select("id", "was", F.col("root").alias("component")))
+        labels = checkpointed(looked_up(step, root, "component", few).select("id", "was", F.col("root").alias("component")))
         if labels.where("was <> component").isEmpty():
             break
         labels = labels.select("id", "component")

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.components import looked_up
 from loomgraph.operators.match import top_per
 
 K1, B = 1.2, 0.75
+#: Sizes up to which one side of a search is sent to all tasks: terms of queries, numbers in a block of query vectors,
+#: characters in a block of cited names.
+TERMS, NUMBERS, CHARACTERS = 1_000_000, 4_000_000, 16_000_000
 #: The weights of the three ways of retrieval, and the bonus of what must be read.
 LOCAL, GLOBAL, TEMPORAL, MUST_READ = 1.0, 1.3, 1.5, 0.2
 EXACT_NAME, TOPIC_CONTAINS, KEYWORD_ONLY = 10.0, 8.0, 6.0
@@ -28,7 +36,8 @@ def bm25(index: DataFrame, n_texts: DataFrame, queries: DataFrame, key: str, k:
     scored = hits.join(df, "term").crossJoin(F.broadcast(n_texts))  # one row of totals
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    total = scored.select("term", key, weight.alias("w")).join(wanted, "term").groupBy("query", key).agg(F.round(F.sum("w"), 6).alias("score"))
+    # A frequent term has very many postings and may stand in many queries: few terms are broadcast, more are salted.
+    total = looked_up(scored.select("term", key, weight.alias("w")), wanted, "term", wanted.count() <= TERMS).groupBy("query", key).agg(F.round(F.sum("w"), 6).alias("score"))
     return top_per(total, ["query"], [F.desc("score"), F.col(key)], k, rank="rank")
 
 
@@ -44,6 +53,57 @@ def centroid_neighbours(vectors: DataFrame, k: int = 5) -> DataFrame:
     return top_per(near, ["label"], [F.desc("score"), F.col("vec_id")], k)
 
 
+def _blocks(df: DataFrame, key: str, size: int, block: int) -> Iterator[DataFrame]:
+    """df in parts by the hash of its key, each of about `block` of its whole size."""
+    n = max(1, -(-size // block))
+    for i in range(n):
+        yield df if n == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)
+
+
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(query, vec_id, score, rank): the k vectors of largest cosine for each query vector, itself left out; least vec_id first of equals.
+
+    Both are (vec_id, embedding) of one length. Queries go to the tasks in blocks of bounded size; each batch of vectors keeps
+    its own k best of each query, and these are merged. Null vectors and vectors of length zero match nothing.
+    """
+    plain = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding")
+    asked = queries.where("embedding IS NOT NULL").select("vec_id", "embedding")
+    size, best = asked.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0], None
+    for part in _blocks(asked, "vec_id", size, NUMBERS):
+        block = part.toPandas()
+        if block.empty:
+            continue
+        ids = block["vec_id"].to_numpy()
+        near = plain.mapInPandas(_nearest(ids, _unit(block["embedding"]), k), "query long, vec_id long, score double")
+        best = near if best is None else best.unionAll(near)
+    if best is None:
+        best = plain.select(F.col("vec_id").alias("query"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    return top_per(best, ["query"], [F.desc("score"), F.col("vec_id")], k, rank="rank")
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, length, out=np.full_like(m, np.nan), where=length > 0)
+
+
+def _nearest(ids: np.ndarray, asked: np.ndarray, k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            own = batch["vec_id"].to_numpy()
+            order = np.argsort(own, kind="stable")
+            own, score = own[order], np.round(asked @ _unit(batch["embedding"])[order].T, 6)
+            score[(ids[:, None] == own[None, :]) | np.isnan(score)] = -np.inf
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            rows = np.repeat(np.arange(len(ids)), top.shape[1])
+            out = pd.DataFrame({"query": ids[rows], "vec_id": own[top.ravel()], "score": score[rows, top.ravel()]})
+            yield out[np.isfinite(out["score"])]
+
+    return run
+
+
 def three_ways(technologies: DataFrame, topics: DataFrame, articles: DataFrame, word: str, since: str) -> DataFrame:
     """(way, uid, name, score): names with the word, topics by use, and recent articles, each with its weight; highest first."""
     local = technologies.where(F.contains(F.lower("name"), F.lit(word))).orderBy("uid").limit(50).select(F.lit("local").alias("way"), "uid", "name", F.lit(LOCAL).alias("score"))
@@ -95,17 +155,40 @@ def retrieval_scores(results: DataFrame) -> DataFrame:
 def grounded(cited: DataFrame, names: DataFrame) -> DataFrame:
     """(key, n_cited, n_grounded) of cited(key, name): names that some node's name holds, in any case.
 
-    Node names are cut into all of their suffixes, so that "holds" is "a suffix starts with", found by an equi-join on the first three characters.
+    Cited names go to the tasks in blocks of bounded size, as an automaton that finds all of them in one walk over a node's
+    name; so the work is that of reading the nodes once a block. Null and empty names are not cited.
     """
-    lowered = names.select(F.lower("name").alias("n")).distinct()
-    suffix = lowered.select(F.explode(F.expr("transform(sequence(1, greatest(length(n), 1)), i -> substring(n, i))")).alias("suffix")).distinct()
-    start = suffix.select(F.substring("suffix", 1, 2).alias("head"), "suffix")
-    own = cited.select("key", F.lower("name").alias("name")).distinct()
-    found = own.select("name").distinct().withColumn("head", F.substring("name", 1, 2)).join(start, "head").where("startswith(suffix, name)").select("name").distinct()
+    lowered = names.where("name IS NOT NULL").select(F.lower("name").alias("n"))
+    own = cited.select("key", F.lower("name").alias("name")).where("name <> ''").distinct()
+    asked, found = own.select("name").distinct(), None
+    size = asked.agg(F.coalesce(F.sum(F.length("name")), F.lit(0))).first()[0]
+    for part in _blocks(asked, "name", size, CHARACTERS):
+        block = [r["name"] for r in part.collect()]
+        if block:
+            held = lowered.mapInPandas(_held(block), "name string")
+            found = held if found is None else found.unionAll(held)
+    found = asked.limit(0) if found is None else found.distinct()
     marked = own.join(found.withColumn("hit", F.lit(1)), "name", "left")
     return marked.groupBy("key").agg(F.count("*").alias("n_cited"), F.count("hit").alias("n_grounded"))
 
 
+def _held(wanted: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        finder = ahocorasick.Automaton()
+        for name in wanted:
+            finder.add_word(name, name)
+        finder.make_automaton()
+        found = set()
+        for batch in batches:
+            for text in batch["n"]:
+                found.update(name for _, name in finder.iter(text))
+        yield pd.DataFrame({"name": sorted(found)}, dtype="object")
+
+    return run
+
+
 def expand_concept(articles: DataFrame, mentions: DataFrame, word: str, most: int = 40, k: int = 3) -> DataFrame:
     """Entities that most often stand in the newest articles whose title has the word."""
     seeds = articles.where(F.contains(F.lower("title"), F.lit(word))).orderBy(F.desc("published_date"), "uid").limit(most).select(F.col("uid").alias("src"))

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words that make a candidate relevant.
-KEYWORDS = "knowledge graph|neo4j|graphrag|rag|mcp|entity extraction|ontology|crawler|rss|simulation|prediction|analysis|discord|agent|claude|anthropic|llm|embedding".split("|")
+KEYWORDS = [
+    "knowledge graph", "neo4j", "graphrag", "rag", "mcp", "entity extraction", "ontology", "crawler", "rss",
+    "simulation", "prediction", "analysis", "discord", "agent", "claude", "anthropic", "llm", "embedding",
+]
 
 
 def trust(as_of: str) -> Column:

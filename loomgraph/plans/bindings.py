@@ -138,7 +138,7 @@ class Graph:
             .unionAll(take(self.persons, "Person"))
             .unionAll(take(self.topics, "Topic"))
             .unionAll(take(self.articles, "Article", "title"))
-            .unionAll(self.table("documents").select(uid("claim", F.col("doc_id")).alias("uid"), F.lit("Claim").alias("label"), F.substring("text", 1, 40).alias("name")))
+            .unionAll(self.table("documents").select(uid("claim", F.col("doc_id")).alias("uid"), F.lit("Claim").alias("label"), F.col("text").alias("name")))
         )
 
     @cached_property
@@ -179,7 +179,7 @@ edges AS (SELECT * FROM discusses
   UNION ALL SELECT 'topic:n:' || n_nationkey, 'topic:r:' || n_regionkey, 'SUBTOPIC_OF', 1.0::DOUBLE FROM nation
   UNION ALL SELECT * FROM depends_on UNION ALL SELECT * FROM tagged_with UNION ALL SELECT * FROM about),
 nodes AS (SELECT uid, 'Technology' AS label, name FROM technologies UNION ALL SELECT uid, 'Organization', name FROM organizations UNION ALL SELECT uid, 'Person', name FROM persons
-  UNION ALL SELECT uid, 'Topic', name FROM topics UNION ALL SELECT uid, 'Article', title FROM articles UNION ALL SELECT 'claim:' || doc_id, 'Claim', substr(text, 1, 40) FROM documents),
+  UNION ALL SELECT uid, 'Topic', name FROM topics UNION ALL SELECT uid, 'Article', title FROM articles UNION ALL SELECT 'claim:' || doc_id, 'Claim', text FROM documents),
 evidence AS (SELECT event_id, 'user:' || user_id AS uid, ts, event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
 """
 

@@ -20,16 +20,16 @@ def exact_copies(g: Graph) -> DataFrame:
     return dedup.exact_copies(g.nodes.where("label IN ('Technology', 'Person', 'Organization', 'Topic')"))
 
 
-@query(f"""WITH n AS (SELECT DISTINCT label, {NORMAL} AS n FROM nodes WHERE label IN ('Technology', 'Topic')),
+@query(f"""WITH n AS (SELECT DISTINCT label, {NORMAL} AS n FROM nodes WHERE label IN ('Technology', 'Person', 'Organization', 'Topic')),
 p AS (SELECT a.label, a.n AS x, b.n AS y, least(length(a.n), length(b.n)) AS short, greatest(length(a.n), length(b.n)) AS long FROM n a JOIN n b ON a.label = b.label AND a.n < b.n),
 s AS (SELECT label, x, y, CASE WHEN (contains(x, y) OR contains(y, x)) AND short >= 3 AND long - short <= 3 THEN 0.9 ELSE 1.0::DOUBLE - levenshtein(x, y) / long::DOUBLE END AS score FROM p)
 SELECT * FROM s WHERE score >= 0.85""")
 def similar_names(g: Graph) -> DataFrame:
-    return dedup.similar_names(g.nodes.where("label IN ('Technology', 'Topic')"))
+    return dedup.similar_names(g.nodes.where("label IN ('Technology', 'Person', 'Organization', 'Topic')"))
 
 
 @query("""WITH m AS (SELECT t.uid AS gone, l.keep FROM technologies t JOIN (SELECT name, brand, min(uid) AS keep FROM technologies GROUP BY name, brand) l ON t.name = l.name AND t.brand = l.brand WHERE uid <> keep)
-SELECT DISTINCT coalesce(a.keep, src) AS src, coalesce(b.keep, dst) AS dst, type FROM depends_on LEFT JOIN m a ON a.gone = src LEFT JOIN m b ON b.gone = dst WHERE coalesce(a.keep, src) <> coalesce(b.keep, dst)""")
+SELECT coalesce(a.keep, src) AS src, coalesce(b.keep, dst) AS dst, type, max(confidence) AS confidence FROM depends_on LEFT JOIN m a ON a.gone = src LEFT JOIN m b ON b.gone = dst WHERE coalesce(a.keep, src) <> coalesce(b.keep, dst) GROUP BY 1, 2, 3""")
 def redirected_edges(g: Graph) -> DataFrame:
     """Technologies of one name and brand become one."""
     least = g.technologies.groupBy("name", "brand").agg(F.min("uid").alias("keep"))
@@ -71,29 +71,40 @@ def merged_topics(g: Graph) -> DataFrame:
 @query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ts FROM documents),
 p AS (SELECT doc_id, len(ts) AS size, unnest(ts) AS term FROM t), i AS (SELECT doc_id, term, size, count(*) AS tf FROM p GROUP BY ALL),
 tot AS (SELECT count(*) AS n, avg(len(ts)) AS mean_size FROM t),
-q AS (SELECT DISTINCT item_id AS query, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM benchmark), w AS (SELECT * FROM q WHERE length(term) >= 8),
+q AS (SELECT DISTINCT item_id AS query, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM benchmark), w AS (SELECT * FROM q WHERE term <> ''),
 h AS (SELECT * FROM i WHERE term IN (SELECT term FROM w)), df AS (SELECT term, count(*) AS df FROM h GROUP BY term),
 s AS (SELECT w.query, doc_id, round(sum(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean_size))), 6) AS score
   FROM h JOIN df USING (term) JOIN w USING (term), tot GROUP BY w.query, doc_id),
 r AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT query, doc_id, score, rank FROM r WHERE rank <= 5""")
 def bm25_search(g: Graph) -> DataFrame:
-    """The five best documents for the longer words of each benchmark item."""
+    """The five best documents for the words of each benchmark item."""
     docs = g.table("documents")
     index = retrieval.postings(docs, "doc_id")
     terms = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: t != "")
     totals = docs.select(F.size(terms).alias("size")).agg(F.count("*").alias("n"), F.avg("size").alias("mean_size"))
-    wanted = g.table("benchmark").select(F.col("item_id").alias("query"), F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("term")).where("length(term) >= 8")
+    wanted = g.table("benchmark").select(F.col("item_id").alias("query"), F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("term")).where("term <> ''")
     return retrieval.bm25(index, totals, wanted, "doc_id").select("query", "doc_id", "score", "rank")
 
 
 @query("""WITH x AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x::DOUBLE) AS m FROM x GROUP BY label, i),
 s AS (SELECT m.label, x.vec_id, round(sum(x.x::DOUBLE * m.m) / sqrt(sum(x.x::DOUBLE * x.x::DOUBLE) * sum(m.m * m.m)), 6) AS score FROM x JOIN m ON x.i = m.i GROUP BY m.label, x.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS k FROM s) SELECT label, vec_id, score FROM r WHERE k <= 5""")
-def vector_top_k(g: Graph) -> DataFrame:
+def label_neighbours(g: Graph) -> DataFrame:
+    """The vectors nearest to the mean of each label."""
     return retrieval.centroid_neighbours(g.table("embeddings"))
 
 
+@query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), z AS (SELECT vec_id, sqrt(sum(x * x)) AS z FROM x GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query, e.vec_id, sum(q.x * e.x) AS dot FROM x q JOIN x e ON q.i = e.i WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id GROUP BY ALL),
+r AS (SELECT query, s.vec_id, round(dot / (a.z * b.z), 6) AS score FROM s JOIN z a ON a.vec_id = query JOIN z b ON b.vec_id = s.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM r) SELECT query, vec_id, score, rank FROM k WHERE rank <= 5""")
+def vector_top_k(g: Graph) -> DataFrame:
+    """The five vectors nearest to each vector whose id is divisible by 20."""
+    vectors = g.table("embeddings")
+    return retrieval.nearest_vectors(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 @query("""WITH u AS (SELECT t.uid, t.name, count(d.src) AS n FROM topics t LEFT JOIN tagged_with d ON d.dst = t.uid GROUP BY t.uid, t.name)
 SELECT * FROM (SELECT 'local' AS way, uid, name, 1.0::DOUBLE AS score FROM technologies WHERE contains(lower(name), 'gear') ORDER BY uid LIMIT 50)
 UNION ALL SELECT * FROM (SELECT 'global', uid, name, 1.3::DOUBLE FROM u ORDER BY n DESC, uid LIMIT 5)
@@ -138,11 +149,11 @@ def retrieval_scores(g: Graph) -> DataFrame:
 
 
 @query(r"""WITH c AS (SELECT DISTINCT item_id AS key, lower(unnest(regexp_extract_all(text, '\b[A-Z][A-Za-z0-9-]{1,}(?:\s[A-Z][A-Za-z0-9-]+)*\b'))) AS name FROM benchmark),
-f AS (SELECT DISTINCT key, name FROM c WHERE name NOT IN ('the', 'a', 'an', 'and', 'or', 'is', 'was', 'in', 'on', 'for', 'to', 'by')), n AS (SELECT DISTINCT lower(name) AS n FROM nodes WHERE label = 'Claim')
+f AS (SELECT DISTINCT key, name FROM c WHERE name NOT IN ('the', 'a', 'an', 'and', 'or', 'is', 'was', 'in', 'on', 'for', 'to', 'by')), n AS (SELECT DISTINCT lower(name) AS n FROM nodes)
 SELECT key, count(*) AS n_cited, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM n WHERE contains(n.n, f.name))) AS n_grounded FROM f GROUP BY key""")
 def grounding(g: Graph) -> DataFrame:
     cited = g.table("benchmark").select(F.col("item_id").alias("key"), F.explode(T.cited_names(F.col("text"))).alias("name"))
-    return retrieval.grounded(cited, g.nodes.where("label = 'Claim'"))
+    return retrieval.grounded(cited, g.nodes)
 
 
 @query("""WITH s AS (SELECT uid FROM articles WHERE contains(lower(title), '7') ORDER BY published_date DESC, uid LIMIT 40)

@@ -35,11 +35,11 @@ def normal_names(g: Graph) -> DataFrame:
 
 
 def _guard_sql() -> str:
-    hidden = [f"CASE WHEN contains(html, chr({int(c, 16)})) THEN 'invisible_unicode_U+{c}' END" for c in T.INVISIBLE]
+    hidden = [f"CASE WHEN contains(html, chr({ord(c)})) THEN 'invisible_unicode_U+{ord(c):04x}' END" for c in T.INVISIBLE]
     found = ["CASE WHEN regexp_matches(html, '{}', 'i') THEN '{}' END".format(p.replace("'", "''"), k) for k, p in T.THREATS.items()]
     clean = "html"
     for c in T.INVISIBLE:
-        clean = f"replace({clean}, chr({int(c, 16)}), '')"
+        clean = f"replace({clean}, chr({ord(c)}), '')"
     for p in T.THREATS.values():
         clean = "regexp_replace({}, '{}', '[REDACTED]', 'i')".format(clean, p.replace("'", "''"))
     return f"SELECT page_id, array_to_string(list_filter([{', '.join(hidden + found)}], lambda x: x IS NOT NULL), '|') AS threats, md5({clean}) AS cleaned FROM pages"

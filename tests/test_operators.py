@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators import causal, claims, communities, components, dedup, match, simulate, temporal
+from loomgraph.operators import causal, claims, communities, components, dedup, match, retrieval, simulate, temporal
 
 
 def edges(spark, *pairs, weight=1.0, kind="R"):
@@ -143,3 +143,97 @@ def test_searches_without_a_bound_follow_long_chains(spark):
 
     with pytest.raises(RuntimeError):
         dedup.greedy_merges(pairs, rounds=2)
+
+
+def test_no_cycle_of_any_length_is_left(spark):
+    import random
+
+    ring = [(i, (i + 1) % 7, float(i + 1)) for i in range(7)]
+    rng = random.Random(5)
+    wild = list({(a, b): (a, b, float(rng.randint(1, 9))) for a, b in ((rng.randrange(7), rng.randrange(7)) for _ in range(14)) if a != b}.values())
+    for given in (ring, wild):
+        edges = spark.createDataFrame([(str(a), str(b), w) for a, b, w in given], "src string, dst string, weight double")
+        left = {(r["src"], r["dst"]) for r in causal.without_cycles(edges, longest=2, block=8).collect()}
+        every = {(str(a), str(b)): (w, str(a), str(b)) for a, b, w in given}
+
+        def reaches(start, goal, usable):
+            seen, todo = {start}, [start]
+            while todo:
+                at = todo.pop()
+                todo += [d for s, d in usable if s == at and d not in seen]
+                seen |= {d for s, d in usable if s == at}
+            return goal in seen
+
+        assert not any(reaches(d, s, left) for s, d in left)
+        for s, d in set(every) - left:
+            assert reaches(d, s, {e for e, w in every.items() if w > every[s, d]})
+
+
+def test_redirect_follows_merges_and_keeps_properties(spark):
+    edges = spark.createDataFrame([("a", "c", "T", 1), ("a", "d", "T", 4), ("x", "c", "T", 2), ("q", "q", "T", 3), ("n", "m", None, None)], "src string, dst string, type string, weight int")
+    merges = spark.createDataFrame([("c", "d"), ("d", "x")], "gone string, keep string")
+    got = sorted(tuple(r) for r in dedup.redirect(edges, merges).fillna({"type": "-"}).collect())
+    assert got == [("a", "x", "T", 4), ("n", "m", "-", None), ("q", "q", "T", 3)]
+    with pytest.raises(ValueError):
+        dedup.settled(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "gone string, keep string"))
+
+
+def test_similar_names_finds_every_pair(spark):
+    import random
+
+    rng, names = random.Random(3), set()
+    for size in (1, 3, 6, 7, 8, 13, 14, 17, 19, 20, 21, 26, 34):
+        for _ in range(6):
+            base = "".join(rng.choice("ab0") for _ in range(size))
+            names.add(base)
+            for _ in range(4):
+                other = list(base)
+                for _ in range(rng.randint(1, 4)):
+                    at = rng.randrange(len(other) + 1)
+                    other[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "0"])
+                    other = other or ["a"]
+                names.add("".join(other))
+    frame = spark.createDataFrame([("L", n) for n in sorted(names)] + [("L", None), ("M", "ab")], "label string, name string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, p in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, q in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != q))
+        return row[-1]
+
+    want = set()
+    for a in names:
+        for b in names:
+            short, long = sorted((len(a), len(b)))
+            if a < b and ((a in b or b in a) and short >= 3 and long - short <= 3 or 1 - distance(a, b) / long >= dedup.LEAST):
+                want.add((a, b))
+    got = [(r["x"], r["y"]) for r in dedup.similar_names(frame).where("label = 'L'").collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_nearest_vectors_and_grounding_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    m = rng.integers(-2, 3, (30, 4)).astype(float)
+    m[3] = m[7]
+    m[5] = 0
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(99, None)], "vec_id long, embedding array<float>").repartition(3)
+    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    want = {}
+    for q in (0, 5, 10, 20):
+        scored = sorted((-round(float(unit[q] @ unit[v]), 6), v) for v in range(30) if v != q and v != 5 and q != 5)
+        want[q] = [v for _, v in scored[:3]]
+    for numbers in (1_000, 4):
+        monkeypatch.setattr(retrieval, "NUMBERS", numbers)
+        got = retrieval.nearest_vectors(vectors, vectors.where("vec_id IN (0, 5, 10, 20)"), 3).orderBy("query", "rank").collect()
+        assert {q: [r["vec_id"] for r in got if r["query"] == q] for q in want} == want
+
+    nodes = spark.createDataFrame([("A wide Sea of grass" + " and more" * 20 + " then Rome",), (None,), ("Band",)], "name string")
+    cited = spark.createDataFrame([(1, "Rome"), (1, "Paris"), (2, "And"), (2, "and"), (3, "sea Of"), (3, None), (4, "Oslo")], "key int, name string")
+    for characters in (10_000, 3):
+        monkeypatch.setattr(retrieval, "CHARACTERS", characters)
+        assert sorted(tuple(r) for r in retrieval.grounded(cited, nodes).collect()) == [(1, 2, 1), (2, 1, 1), (3, 1, 1), (4, 1, 0)]
+        assert retrieval.grounded(cited.limit(0), nodes).count() == 0
