@@ -70,6 +70,49 @@ QUERY_NOISE = [
     "HTML", "CSS", "UTC", "PDF", "CSV", "YAML", "The", "This", "That", "One", "All", "Some", "New", "Old",
 ]
 QUESTION_LIMIT, CONTEXT_LIMIT = 80, 1200
+#: Entities that questions name, and entities that concepts stand for.
+KNOWN_ENTITIES = [
+    "Transformer", "GPT", "GPT-4", "GPT-5", "Claude", "BERT", "LLM", "RAG", "PyTorch", "TensorFlow", "CUDA", "NVIDIA",
+    "OpenAI", "Anthropic", "DeepMind", "Google", "Meta", "Microsoft", "Hugging Face", "LangChain", "Neo4j", "LoRA",
+    "QLoRA", "RLHF", "MCP", "Mamba", "RWKV", "Llama", "Mistral", "Constitutional AI", "ReAct", "AutoGPT", "Chinchilla",
+    "EU AI Act", "Knowledge Graph", "Vector DB", "Scaling Law", "Foundation Model",
+]
+CONCEPT_ENTITIES = [
+    (["hallucination", "환각", "grounding"], ["RLHF", "Constitutional AI", "RAG"]),
+    (["mcp 프로토콜", "mcp protocol", "mcp 목적", "mcp 구조"], ["Anthropic", "MCP"]),
+    (["ai agent", "agent 아키텍처", "agent 구성", "에이전트 아키텍처", "에이전트 구성"], ["LangChain", "AutoGPT", "ReAct"]),
+    (["transformer 대안", "attention 대안", "이후 등장한", "대안 아키텍처"], ["Mamba", "RWKV"]),
+    (["gpu 부족", "gpu shortage", "gpu 대응", "inference 최적화"], ["NVIDIA", "CUDA"]),
+    (["ai 안전성", "ai safety", "alignment 연구"], ["Anthropic", "OpenAI", "DeepMind"]),
+    (["오픈소스 llm", "open source llm", "open-source llm"], ["Llama", "Mistral"]),
+    (["scaling law", "스케일링"], ["Chinchilla"]),
+    (["fine-tuning", "파인튜닝", "parameter efficient"], ["LoRA", "QLoRA"]),
+]
+#: Words of relevant titles, and patterns of the modules that a repository may serve.
+RELEVANT_WORDS = [
+    "ai", "llm", "gpt", "claude", "gemini", "transformer", "neural", "deep learning", "machine learning", "openai",
+    "anthropic", "deepseek", "diffusion", "rag", "embedding", "fine-tun", "reinforcement", "agent", "reasoning",
+    "multimodal", "language model", "chatgpt", "copilot", "cursor", "stable diffusion", "midjourney", "hugging face",
+    "pytorch", "tensorflow", "langchain", "vector database", "knowledge graph", "nlp", "computer vision", "robotics",
+    "autonomous", "mcp", "model context protocol", "prompt", "alignment", "rlhf", "coding agent", "vibe coding",
+    "inference", "quantization", "distillation", "attention", "bert", "lora", "qlora", "benchmark", "evaluation",
+]
+MODULES = {
+    "brain": "graph|neo4j|knowledge|ontolog|entity",
+    "brain/crawler": "crawl|rss|scrape|feed|news",
+    "brain/graphrag": "rag|retriev|search|query",
+    "eye": "simulat|predict|forecast|model",
+    "ear": "discord|bot|chat|messag",
+    "photo": "photo|image|edit|correct",
+    "sleep": "memory|consolid|clean",
+    "brain/mcp-server": "mcp|protocol|tool",
+    "browse": "browser|headless|playwright",
+}
+#: Tones by stance, intensities by influence, words of quotes.
+TONES = {"positive": "긍정적/낙관적", "negative": "부정적/비관적", "neutral": "중립적/분석적"}
+INTENSITIES = {"strong": "단정적/선언적", "sure": "확신적/분석적", "careful": "관찰적/조심스러운"}
+POSITIVE_WORDS = ["상승", "성장", "호재", "긍정", "기회", "강세"]
+NEGATIVE_WORDS = ["하락", "위험", "악재", "우려", "약세", "위기"]
 
 
 #: A word boundary between ASCII word characters and others (Java's own counts accented letters too).
@@ -195,6 +238,83 @@ def concept_phrases(question: Column, known: list[str] = (), most: int = 3) -> C
     return F.slice(F.concat(F.array_distinct(english), F.array_distinct(hangul)), 1, most)
 
 
+def has_any(text: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
+
+def question_entities(question: Column, expanded: Column | None = None, most: int = 8) -> Column:
+    """What a question asks about, at most so many: known names, what its concepts stand for, what the graph adds to them
+    (expanded: an array), runs of capitalised words, and Hangul words.
+
+    Each only if it is not yet there. A question without any is its own entity; one with fewer than three adds its first two
+    clauses of five characters or more. A null question has none.
+    """
+    lowered = F.lower(question)
+    known = F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(k.lower())), F.lit(k)) for k in KNOWN_ENTITIES]))
+    none = F.array().cast("array<string>")
+    stands_for = [F.when(has_any(lowered, words), F.array(*map(F.lit, names))).otherwise(none) for words, names in CONCEPT_ENTITIES]
+    given = F.array_distinct(F.concat(known, *stands_for, F.coalesce(expanded, none) if expanded is not None else none))
+    runs = F.regexp_extract_all(question, F.lit(r"[A-Z][a-zA-Z0-9-]+(?:\s[A-Z][a-zA-Z0-9-]+)*"), F.lit(0))
+    hangul = F.filter(F.regexp_extract_all(question, F.lit("[가-힣]{2,}"), F.lit(0)), lambda w: ~w.isin(PHRASE_STOPS))
+    clauses = F.slice(F.filter(F.split(question, r"[,?!。？]\s*"), lambda p: F.length(p) > 4), 1, 2)
+
+    def with_runs(given: Column) -> Column:
+        there, folded = F.transform(given, F.lower), F.transform(runs, F.lower)
+        new = F.filter(runs, lambda w, i: (F.array_position(folded, F.lower(w)) == i + 1) & ~F.array_contains(there, F.lower(w)) & ~F.lower(w).isin(PHRASE_STOPS))
+        return F.concat(given, new)
+
+    def with_clauses(found: Column) -> Column:
+        wider = F.array_distinct(F.concat(found, F.transform(F.array_except(clauses, found), F.trim)))
+        return F.when(F.size(found) == 0, F.array(question)).when(F.size(found) < 3, wider).otherwise(found)
+
+    with_hangul = bound(bound(given, with_runs), lambda found: F.concat(found, F.array_except(hangul, found)))
+    return F.when(question.isNotNull(), F.slice(bound(with_hangul, with_clauses), 1, most)).otherwise(none)
+
+
+def relevant(title: Column, url: Column) -> Column:
+    """Whether any of the words stands in the title or the address, in any case; missing ones are empty."""
+    return has_any(F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(url, F.lit("")))), RELEVANT_WORDS)
+
+
+def modules(text: Column) -> Column:
+    """Modules whose pattern a text has, in order; "general" if none."""
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    found = F.array_compact(F.array(*[F.when(F.regexp_like(lowered, F.lit(p)), F.lit(m)) for m, p in MODULES.items()]))
+    return bound(found, lambda m: F.when(F.size(m) > 0, m).otherwise(F.array(F.lit("general"))))
+
+
+def tone(stance: Column) -> Column:
+    value = F.coalesce(stance, F.lit(0.0))
+    return F.when(value > 0.3, TONES["positive"]).when(value < -0.3, TONES["negative"]).otherwise(TONES["neutral"])
+
+
+def intensity(influence: Column) -> Column:
+    value = F.coalesce(influence, F.lit(0.0))
+    return F.when(value > 0.7, INTENSITIES["strong"]).when(value > 0.4, INTENSITIES["sure"]).otherwise(INTENSITIES["careful"])
+
+
+def quote_fits(quote: Column, tone: Column) -> Column:
+    """False if a quote only has words against its speaker's tone."""
+    text = F.coalesce(quote, F.lit(""))
+    good, bad = has_any(text, POSITIVE_WORDS), has_any(text, NEGATIVE_WORDS)
+    against = ((tone == TONES["positive"]) & bad & ~good) | ((tone == TONES["negative"]) & good & ~bad)
+    return ~F.coalesce(against, F.lit(False))
+
+
+def clean_name(name: Column) -> Column:
+    return F.trim(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
+def percent(value: Column) -> Column:
+    """A share as whole percent, halves to the even one."""
+    return F.concat(F.bround(value * 100, 0).cast("bigint").cast("string"), F.lit("%"))
+
+
+def fixed(value: Column, places: int = 4) -> Column:
+    """A score with so many decimals, halves to the even one."""
+    return F.format_string(f"%.{places}f", F.bround(value, places))
+
+
 def tech_tokens(text: Column) -> Column:
     """Capitalised names of one or two words, without common noise."""
     found = F.regexp_extract_all(text, F.lit(EDGE + r"([A-Z][a-zA-Z0-9+.#-]+(?:\s[A-Z][a-zA-Z0-9+.#-]+)?)" + EDGE), F.lit(1))

@@ -27,6 +27,45 @@ def component_communities(pairs: DataFrame, nodes: DataFrame, least: int = 2) ->
     return sized.join(named, "component").select(F.col("component").alias("community"), community_name(F.col("names")).alias("name"), "members")
 
 
+def cross_level_links(lower: DataFrame, discusses: DataFrame, tagged: DataFrame, upper: DataFrame) -> DataFrame:
+    """(c1, c2, shared): communities of members that content discusses, and of topics that the same content is tagged with;
+    shared is the number of different members. lower and upper: (uid, community).
+    """
+    seen = discusses.select("src", F.col("dst").alias("uid")).join(lower.select("uid", F.col("community").alias("c1")), "uid").distinct()
+    above = tagged.select("src", F.col("dst").alias("uid")).join(upper.select("uid", F.col("community").alias("c2")), "uid").select("src", "c2").distinct()
+    return seen.join(above, "src").select("c1", "c2", "uid").distinct().groupBy("c1", "c2").agg(F.count("*").alias("shared"))
+
+
+def meta_communities(links: DataFrame) -> DataFrame:
+    """(member, level, meta, members): communities of both levels that links (c1, c2) connect; each group is named after its
+    first two members.
+    """
+    key = lambda level, c: F.concat(F.lit(f"{level}:"), F.col(c).cast("string"))
+    members = connected_components(links.select(key(1, "c1").alias("a"), key(2, "c2").alias("b")), "a", "b")
+    first = members.withColumn("k", F.row_number().over(Window.partitionBy("component").orderBy("id"))).where("k <= 2")
+    named = first.groupBy("component").agg(F.concat(F.lit("Meta: "), F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: F.substring_index(i, ":", -1)), " + ")).alias("meta"))
+    sized = members.groupBy("component").agg(F.count("*").alias("members"))
+    level, name = F.substring("id", 1, 1).cast("int").alias("level"), F.expr("substring(id, 3)").alias("member")
+    return members.join(named.join(sized, "component"), "component").select(name, level, "meta", "members")
+
+
+def enriched_members(own: DataFrame, discusses: DataFrame, mentions: DataFrame, tagged: DataFrame, in_groups: DataFrame, least: int = 2, topics: int = 30) -> DataFrame:
+    """(uid, community): members and those that content ties to them.
+
+    Of content that discusses a community's members: whom it mentions, itself if it discusses so many of them, and the first
+    topics it is tagged with over all communities, unless they are in a group (uid) of their own.
+    """
+    own = own.select("uid", "community").distinct()
+    seen = discusses.select("src", F.col("dst").alias("uid")).join(own, "uid").distinct()
+    content = seen.groupBy("src", "community").agg(F.count("*").alias("n"))
+    named = mentions.select("src", F.col("dst").alias("uid")).join(content.select("src", "community"), "src").select("uid", "community")
+    itself = content.where(F.col("n") >= least).select(F.col("src").alias("uid"), "community")
+    loose = tagged.select("src", F.col("dst").alias("uid")).join(in_groups.select("uid"), "uid", "left_anti")
+    themes = loose.join(content.select("src", "community"), "src").select("uid", "community").distinct()
+    themes = themes.join(own, ["uid", "community"], "left_anti").orderBy("uid", "community").limit(topics)
+    return own.unionByName(named).unionByName(itself).unionByName(themes).distinct()
+
+
 def spread_labels(pairs: DataFrame, rounds: int = 5) -> DataFrame:
     """(uid, community): every node takes the label of greatest total weight around it (least label of equals), for some rounds.
 

@@ -195,6 +195,50 @@ def expand_concept(articles: DataFrame, mentions: DataFrame, word: str, most: in
     return mentions.join(seeds, "src", "left_semi").groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(k)
 
 
+def holders(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, uid): the texts (uid, text) in which each of the words (word) stands, in any case; each once.
+
+    As in `grounded`, words go to the tasks in blocks of bounded size and each text is walked once a block. Null texts hold
+    nothing, null and empty words stand nowhere.
+    """
+    asked = words.select(F.lower("word").alias("word")).where("word <> ''").distinct()
+    lowered = texts.where("text IS NOT NULL").select(F.col("uid").cast("string").alias("uid"), F.lower("text").alias("text"))
+    size, found = asked.agg(F.coalesce(F.sum(F.length("word")), F.lit(0))).first()[0], None
+    for part in _blocks(asked, "word", size, CHARACTERS):
+        block = [r["word"] for r in part.collect()]
+        if block:
+            held = lowered.mapInPandas(_holding(block), "word string, uid string")
+            found = held if found is None else found.unionAll(held)
+    return asked.select("word", F.col("word").alias("uid")).limit(0) if found is None else found.distinct()
+
+
+def _holding(wanted: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        finder = ahocorasick.Automaton()
+        for word in wanted:
+            finder.add_word(word, word)
+        finder.make_automaton()
+        for batch in batches:
+            for uid, text in zip(batch["uid"], batch["text"]):
+                words = sorted({word for _, word in finder.iter(text)})
+                if words:
+                    yield pd.DataFrame({"word": words, "uid": uid})
+
+    return run
+
+
+def expand_concepts(phrases: DataFrame, texts: DataFrame, mentions: DataFrame, most: int = 40, k: int = 3) -> DataFrame:
+    """(phrase, dst, n, rank): for each phrase of three characters or more the k entities that most often stand in the
+    first texts (uid, text) that have it, `most` at most, by uid. mentions: (src, dst), each counted.
+    """
+    asked = phrases.select(F.trim(F.lower("phrase")).alias("word")).where("length(word) >= 3")
+    seeds = top_per(holders(texts, asked), ["word"], [F.col("uid")], most).select("word", F.col("uid").alias("src"))
+    counted = mentions.select("src", "dst").join(seeds, "src").groupBy(F.col("word").alias("phrase"), "dst").agg(F.count("*").alias("n"))
+    return top_per(counted, ["phrase"], [F.desc("n"), F.col("dst")], k, rank="rank")
+
+
 def ranked_context(edges: DataFrame, nodes: DataFrame, spaces: dict[str, float], k: int = 10) -> DataFrame:
     """Edges of a context by their space's weight and confidence, one for each (source name, type, target name)."""
     named = edges
