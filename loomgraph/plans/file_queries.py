@@ -29,11 +29,11 @@ def export_json_ld(g: Graph) -> DataFrame:
     return files.json_ld(g.nodes.where("label = 'Technology'"), g.depends_on, "https://example.org/")
 
 
-@query(r"""WITH i AS (SELECT page_id, unnest(list_slice(regexp_split_to_array(html, '<(?:li|LI)[\s>]'), 2, 10000)) AS x FROM pages)
+@query(r"""WITH i AS (SELECT page_id, unnest(regexp_split_to_array(html, '<(?:li|LI)[\s>]')[2:]) AS x FROM pages)
 SELECT page_id, count(*) AS items, count(*) FILTER (WHERE regexp_matches(x, 'href="[^"]+"')) AS linked FROM i GROUP BY page_id""")
 def listed_links(g: Graph) -> DataFrame:
     """List items of each page, and those with a link, cut apart as feeds are."""
-    items = g.table("pages").select("page_id", F.explode(F.slice(F.split("html", r"<(?:li|LI)[\s>]"), 2, 10_000)).alias("x"))
+    items = g.table("pages").select("page_id", F.explode(files.after_first(F.split("html", r"<(?:li|LI)[\s>]"))).alias("x"))
     return items.groupBy("page_id").agg(F.count("*").alias("items"), F.count_if(F.regexp_like("x", F.lit('href="[^"]+"'))).alias("linked"))
 
 

@@ -32,9 +32,14 @@ def parsed_articles(raw: DataFrame, prefix: str = "") -> DataFrame:
     )
 
 
+def after_first(parts: Column) -> Column:
+    """All of an array but its first entry."""
+    return T.bound(parts, lambda p: F.slice(p, F.lit(2), F.size(p)))
+
+
 def feed_items(feeds: DataFrame, limit: int = 50) -> DataFrame:
     """Items of RSS and Atom texts (feed, xml): title, link, summary without markup (500 characters), date; a fair share of the limit for each feed."""
-    items = feeds.select("feed", F.posexplode(F.slice(F.split("xml", r"(?i)<(?:item|entry)[\s>]"), 2, 10_000)).alias("place", "x"))
+    items = feeds.select("feed", F.posexplode(after_first(F.split("xml", r"(?i)<(?:item|entry)[\s>]"))).alias("place", "x"))
     tag = lambda name: F.trim(F.regexp_replace(F.regexp_extract("x", rf"(?is)<{name}[^>]*>(.*?)</{name}>", 1), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))
     plain = lambda c: F.trim(F.regexp_replace(T.decode_numeric(c), "<[^>]+>", ""))
     some = lambda *cs: F.coalesce(*[F.when(c != "", c) for c in cs], F.lit(""))
@@ -50,7 +55,7 @@ def arxiv_entries(feeds: DataFrame) -> DataFrame:
     """Entries of an Atom answer (feed, xml): bare id, title, abstract (1000 characters), ten authors at most, distinct categories."""
     x = F.col("x")
     one = lambda name: F.trim(F.regexp_replace(F.regexp_extract(x, rf"(?s)<{name}[^>]*>(.*?)</{name}>", 1), r"\s+", " "))
-    entries = feeds.select("feed", F.explode(F.slice(F.split("xml", "<entry>"), 2, 100_000)).alias("x"))
+    entries = feeds.select("feed", F.explode(after_first(F.split("xml", "<entry>"))).alias("x"))
     bare = F.regexp_replace(F.regexp_replace(one("id"), "^https?://arxiv.org/abs/", ""), r"v\d+$", "")
     authors = F.slice(F.regexp_extract_all(x, F.lit(r"(?s)<name>\s*(.*?)\s*</name>"), F.lit(1)), 1, 10)
     return entries.select("feed", bare.alias("arxiv_id"), one("title").alias("title"), F.substring(one("summary"), 1, 1000).alias("abstract"), authors.alias("authors"), F.array_distinct(F.regexp_extract_all(x, F.lit(r'<category[^>]*term="([^"]+)"'), F.lit(1))).alias("categories"))
