@@ -19,6 +19,8 @@ from loomgraph.plans.session import checkpointed, written  # noqa: F401  (the op
 
 #: Bytes of text that one array operation sees at most (a single longer document is a chunk of its own).
 CHUNK_BYTES = 2 << 20
+#: The same for array operations that hold many numbers for each word.
+SMALL_CHUNK_BYTES = 1 << 19
 #: Bytes of one Arrow batch between the JVM and a Python worker.
 BATCH_BYTES = 16 << 20
 

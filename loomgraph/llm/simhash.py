@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def work(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column("doc_id"), "fp": pa.array(fingerprints_of(C.Texts.of(batch.column("text"))).view(np.int64))}
 
-    return C.map_texts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id bigint, fp bigint", work)
+    return C.map_texts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id bigint, fp bigint", work, most=C.SMALL_CHUNK_BYTES)
 
 
 def half(fp: Column, which: int) -> Column:
@@ -139,7 +139,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         return {name: batch.column(name) for name in ("doc_id", "one", "two")} | {"fp": pa.array(marks)}
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), one.alias("one"), two.alias("two"), "text")
-    own = C.checkpointed(C.map_texts(rows, "doc_id bigint, one bigint, two bigint, fp bigint", work))
+    own = C.checkpointed(C.map_texts(rows, "doc_id bigint, one bigint, two bigint, fp bigint", work, most=C.SMALL_CHUNK_BYTES))
     counted = own.groupBy("fp", "doc_id", "one", "two").agg(F.count("*").alias("n"))
     first = counted.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "one", "two", "n")).alias("w"))  # so no join meets all copies of a text
     first = first.join(components_of(own).select("fp", "component"), "fp").groupBy("component").agg(F.min("w").alias("w"))
