@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import avi, bpe, compact_windows, language_id, line_dedup, mixing, repetition, rule_ensemble, simhash, token_counts
+from loomgraph.llm import avi, bpe, compact_windows, fill_in_middle, hard_negatives, language_id, line_dedup, mixing, repetition, resharding, rule_ensemble, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.reshard(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,8 +102,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_token_counts,
         op10_byte_bpe,
+        op11_resharding,
+        op12_hard_negatives,
+        op13_fill_in_middle,
     )
 }
 
 #: DuckDB SQL for the rows of a query, where SQL can express it.
-ORACLE_SQL: dict[str, str] = {"op5_source_mixing": mixing.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_source_mixing": mixing.ORACLE_SQL,
+    "op7_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
+}
