@@ -6,7 +6,7 @@ import math
 
 
 def cell(value) -> str:
-    if value is None or value != value or str(value) in ("<NA>", "NaT"):
+    if value is None or str(value) in ("<NA>", "NaT") or value != value:
         return "~"
     if isinstance(value, float):
         return str(int(value)) if value == int(value) and abs(value) < 1e15 else f"{round(value, 6):.6f}"
