@@ -188,7 +188,7 @@ def probe(docs: DataFrame, shards: dict[int, Shard], n: int, dropped: str) -> Da
 
 def drop_lines(docs: DataFrame, dropped: str = "n_dropped") -> DataFrame:
     """docs with the kept texts, and a column of the lines dropped (its name must be free)."""
-    if dropped in docs.columns:
+    if dropped.lower() in map(str.lower, docs.columns):  # Spark's names know no case
         raise ValueError(f"the input has a column {dropped}")
     index, n = build_index(docs)
     sizes = F.length("sizes") + F.length("bits") + F.length("fingerprints") + F.length("counts") + F.length("keepers") + F.length("clashes")

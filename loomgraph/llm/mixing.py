@@ -12,8 +12,9 @@ has few entries (rows of one key, id and size are one entry); only these are sor
 at the end as many are taken as fit, by their place in the checkpointed table. Every row then compares itself with its source's cutoff.
 
 Nulls: a null text has no words; a null source is a source; a null doc_id hashes as the empty text. Rows with one key are ordered by
-doc_id (null last), then size, then their place; rows equal in these are interchangeable, so reruns give the same rows. A source
-without words has the target 0. An empty table gives no rows. mix reads doc_id, text and source only, mixed_rows keeps all columns.
+doc_id (null last), then size, then their place; rows equal in these are interchangeable, so reruns give the same rows. Rows
+without words are taken in every epoch of their source, and in its fraction if it has one and their key is low enough. A source
+without words has the target 0 and gives no rows. An empty table gives no rows. mix reads doc_id, text and source only, mixed_rows keeps all columns.
 Only the number of words of a text is kept, so very long texts cost no more than others.
 """
 
@@ -139,6 +140,7 @@ def copies(own: DataFrame, cuts: DataFrame) -> DataFrame:
     table = cuts.withColumnRenamed("source", "of")
     table = F.broadcast(table) if cuts.count() <= BROADCAST_SOURCES else table
     taken = F.coalesce(F.col("key") < F.col("low"), F.lit(False)) | (entry() < F.col("last_entry")) | ((entry() == F.col("last_entry")) & (F.col("place") <= F.col("last_place")))
+    taken = taken & (F.col("target") > F.col("epochs") * F.col("source_size"))  # complete epochs alone leave no fraction, not even of rows without words
     return own.join(table, same_source("source", "of")).withColumn("copies", F.col("epochs") + F.coalesce(taken, F.lit(False)).cast("bigint"))
 
 

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.llm import common as C
 from loomgraph.operators.components import connected_components
@@ -125,13 +126,19 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     return own.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _hashable(field: T.StructField) -> Column:
+    """The column, as text if it holds maps, which Spark does not hash (entries in another order then make another row)."""
+    column = F.col(f"`{field.name}`")
+    return F.to_json(F.struct(column)) if "map<" in field.dataType.simpleString() else column
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, of each component one: of least doc_id (null last), and of rows that share it, of least hash over all columns.
 
     Rows are told apart by two 64-bit hashes over all columns, not by doc_id, so a row of its own stays though
     another row of its id is a copy. Of rows that are equal in all columns one stays.
     """
-    every = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    every = [x for f in docs.schema.fields for x in (_hashable(f), F.col(f"`{f.name}`").isNull())]
     one, two = F.xxhash64(*every), F.xxhash64(F.lit(1), *every)
 
     def work(batch: pa.RecordBatch) -> dict:

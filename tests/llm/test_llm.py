@@ -526,5 +526,28 @@ def test_pipeline_stages_bear_hard_inputs(spark):
         assert now.columns[0] == "doc_id"
 
 
+def test_pipeline_keeps_columns_of_like_names_and_of_maps(spark):
+    import corpus_pipeline as cp
+
+    line = "One line of more than forty letters that stands in many documents."
+    rows = [(i, f"{line}\n{' '.join(f'w{i}x{j}' for j in range(30))}", f"s{i % 2}", 77, {"k": i}) for i in range(8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, LINES_DROPPED_0 int, tags map<string,int>")
+    lines = cp.line_dedup_stage(spark, d, SMALL)
+    assert lines.columns == d.columns and {r["LINES_DROPPED_0"] for r in lines.collect()} == {77} and lines.where(F.contains("text", F.lit(line))).count() == 1
+    with pytest.raises(ValueError):
+        line_dedup.drop_lines(d, "lines_dropped_0")
+    twice = simhash.one_of_each(d.unionAll(d)).collect()
+    assert sorted((r["doc_id"], r["tags"]["k"]) for r in twice) == [(i, i) for i in range(8)]
+
+
+def test_rows_without_words_are_taken_in_complete_epochs_only(spark):
+    rows = [(i, "" if i % 4 == 0 else "a b c", "full" if i % 2 else "other") for i in range(400)] + [(1000 + i, "w " * 2000, "rich") for i in range(20)]
+    d = spark.createDataFrame([(i, "" if i % 5 == 0 and s == "full" else t, s) for i, t, s in rows], "doc_id long, text string, source string")
+    by_source = {r["source"]: r for r in mixing.targets(d.select("source", mixing.size_of(F.col("text")).alias("size"))).collect()}
+    assert by_source["full"]["target"] == 2 * by_source["full"]["source_size"]
+    copies = Counter(r["doc_id"] for r in mixing.mixed_rows(d).collect())
+    assert {copies[i] for i, _, s in rows if s == "full"} == {2}
+
+
 def test_every_llm_query_is_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
