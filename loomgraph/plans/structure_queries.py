@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import communities as M
-from loomgraph.operators import match
+from loomgraph.operators import loading, match
+from loomgraph.operators import modularity as Q
 from loomgraph.operators import temporal as W
 from loomgraph.plans.bindings import Graph
 from loomgraph.plans.registry import query
+from loomgraph.plans.session import checkpointed
 
 CO = "co AS (SELECT a.dst AS a, b.dst AS b, count(*) AS n FROM discusses a JOIN discusses b ON a.src = b.src AND a.dst < b.dst GROUP BY a.dst, b.dst)"
 TEXT_DATE = lambda name: F.col(name).cast("string").alias(name)
@@ -95,18 +97,47 @@ def feedback_loops(g: Graph) -> DataFrame:
     return M.simple_cycles(_influences(g)).select(F.array_join("path", ">").alias("path"), "length")
 
 
-@query("""WITH RECURSIVE b AS (SELECT src AS s, dst AS t FROM depends_on WHERE dst <> src UNION SELECT dst, src FROM depends_on WHERE dst <> src),
-g0 AS (SELECT DISTINCT s, s AS v, 0 AS d FROM b), w AS (SELECT s, v, d FROM g0 UNION SELECT w.s, b.t, w.d + 1 FROM w JOIN b ON b.s = w.v WHERE w.d < 3),
-m AS (SELECT s, v, min(d) AS d FROM w GROUP BY s, v),
-one AS (SELECT m.s, m.v, 1.0::DOUBLE AS n FROM m WHERE d = 1),
-two AS (SELECT m.s, m.v, sum(o.n) AS n FROM m JOIN b ON b.t = m.v JOIN m k ON k.s = m.s AND k.v = b.s AND k.d = 1 JOIN one o ON o.s = m.s AND o.v = k.v WHERE m.d = 2 GROUP BY m.s, m.v),
-three AS (SELECT m.s, m.v, sum(o.n) AS n FROM m JOIN b ON b.t = m.v JOIN m k ON k.s = m.s AND k.v = b.s AND k.d = 2 JOIN two o ON o.s = m.s AND o.v = k.v WHERE m.d = 3 GROUP BY m.s, m.v),
-z AS (SELECT s, v, 1 AS d, n FROM one UNION ALL SELECT s, v, 2, n FROM two UNION ALL SELECT s, v, 3, n FROM three),
-pass AS (SELECT a.v AS uid, a.n * c.n / t.n AS share FROM z a JOIN z c ON c.s = a.v JOIN z t ON t.s = a.s AND t.v = c.v AND t.d = a.d + c.d)
-SELECT b.s AS uid, round(coalesce(sum_share, 0), 6) AS score FROM (SELECT DISTINCT s FROM b) b LEFT JOIN (SELECT uid, sum(share) AS sum_share FROM pass GROUP BY uid) p ON p.uid = b.s""")
+BETWEENNESS = """b AS (SELECT src AS s, dst AS t FROM depends_on WHERE dst <> src UNION SELECT dst, src FROM depends_on WHERE dst <> src),
+w(s, v, d, n) USING KEY (s, v) AS (SELECT DISTINCT s, s AS v, 0 AS d, 1.0::DOUBLE AS n FROM b
+  UNION SELECT w.s, b.t, w.d + 1, sum(w.n) FROM w JOIN b ON b.s = w.v LEFT JOIN recurring.w k ON k.s = w.s AND k.v = b.t WHERE k.s IS NULL GROUP BY w.s, b.t, w.d),
+pass AS (SELECT a.v AS uid, a.n * c.n / t.n AS share FROM w a JOIN w c ON c.s = a.v AND c.d > 0 JOIN w t ON t.s = a.s AND t.v = c.v AND t.d = a.d + c.d WHERE a.d > 0),
+nodes_in AS (SELECT count(DISTINCT s)::DOUBLE AS n FROM b),
+z AS (SELECT b.s AS uid, round(coalesce(sum_share, 0) / ((n - 1) * (n - 2)), 9) AS score FROM (SELECT DISTINCT s FROM b) b LEFT JOIN (SELECT uid, sum(share) AS sum_share FROM pass GROUP BY uid) p ON p.uid = b.s, nodes_in)"""
+
+
+@query(f"WITH RECURSIVE {BETWEENNESS} SELECT uid, score FROM z")
 def betweenness(g: Graph) -> DataFrame:
-    """Over shortest paths of up to three steps."""
-    return M.betweenness(g.depends_on, longest=3)
+    """Over shortest paths of any length between all pairs, normalised."""
+    return M.betweenness(g.depends_on)
+
+
+@query(f"""WITH RECURSIVE {BETWEENNESS} SELECT 'top' AS "end", * FROM (SELECT uid, score FROM z ORDER BY score DESC, uid LIMIT 5) UNION ALL SELECT 'bottom', * FROM (SELECT uid, score FROM z ORDER BY score, uid DESC LIMIT 5)""")
+def betweenness_extremes(g: Graph) -> DataFrame:
+    """The five nodes that most shortest paths pass through, and the five that fewest do."""
+    return loading.extremes(checkpointed(M.betweenness(g.depends_on)), "score", "uid")
+
+
+def _ties(g: Graph) -> DataFrame:
+    """Technologies that depend on each other, and those that articles discuss together twice or more."""
+    together = match.co_occurrence(g.discusses).where("n >= 2").select("a", "b", F.col("n").cast("double").alias("weight"))
+    return g.depends_on.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("confidence").alias("weight")).unionByName(together)
+
+
+@query()
+def modularity_tiers(g: Graph) -> DataFrame:
+    """Communities at four resolutions; no SQL, held in the tests against a sequential method of the same quality."""
+    return Q.modularity_communities(_ties(g))
+
+
+@query("""WITH e AS (SELECT a.src AS u, a.dst AS v, CAST(round(greatest(confidence, 0.01) * 1000000) AS BIGINT) AS w FROM depends_on a WHERE src <> dst), b AS (SELECT u, v, w FROM e UNION ALL SELECT v, u, w FROM e),
+m AS (SELECT CAST(sum(w) AS DOUBLE) AS m2 FROM b), s AS (SELECT x.brand AS c, CAST(sum(w) AS DOUBLE) AS k, CAST(sum(CASE WHEN x.brand = y.brand THEN w ELSE 0 END) AS DOUBLE) AS inside FROM b JOIN technologies x ON x.uid = u JOIN technologies y ON y.uid = v GROUP BY x.brand),
+t AS (SELECT * FROM (VALUES (0, 2.0::DOUBLE), (1, 1.0::DOUBLE), (2, 0.5::DOUBLE), (3, 0.2::DOUBLE)) t(tier, resolution))
+SELECT CAST(tier AS INT) AS tier, count(*) AS communities, round(sum(inside / m2 - resolution * (k / m2) * (k / m2)), 6) AS modularity FROM s, m, t GROUP BY tier""")
+def partition_quality(g: Graph) -> DataFrame:
+    """How well brands part the technologies that depend on each other, at each resolution."""
+    pairs = g.depends_on.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("confidence").alias("weight"))
+    tiers = F.explode(F.sequence(F.lit(0), F.lit(len(Q.RESOLUTIONS) - 1))).alias("tier")
+    return Q.quality(pairs, g.technologies.select("uid", F.col("brand").alias("community"), tiers))
 
 
 STAMPED = "st AS (SELECT 'user:' || user_id AS src, event_type AS dst, event_type AS type, ts AS stamp FROM events)"

@@ -103,9 +103,45 @@ def test_carry_forward_holds_the_last_write(spark):
     assert [r["value"] for r in temporal.carry_forward(rows, 5).orderBy("round").collect()] == [0.0, 0.7, 0.7, -0.1, -0.1]
 
 
-def test_betweenness_of_a_path(spark):
-    got = {r["uid"]: r["score"] for r in communities.betweenness(edges(spark, ("a", "b"), ("b", "c"))).collect()}
-    assert got == {"a": 0.0, "b": 2.0, "c": 0.0}
+def brandes(pairs):
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    score = dict.fromkeys(near, 0.0)
+    for s in near:
+        d, paths, order = {s: 0}, {s: 1}, [s]
+        for u in order:
+            for v in near[u]:
+                if v not in d:
+                    d[v], paths[v] = d[u] + 1, 0
+                    order.append(v)
+                if d[v] == d[u] + 1:
+                    paths[v] += paths[u]
+        owed = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for u in near[v]:
+                if d[u] == d[v] - 1:
+                    owed[u] += paths[u] / paths[v] * (1 + owed[v])
+            if v != s:
+                score[v] += owed[v]
+    n = len(near)
+    return {v: round(x / max((n - 1) * (n - 2), 1), 9) for v, x in score.items()}
+
+
+@pytest.mark.parametrize("state", [communities.STATE, 60])
+def test_betweenness_of_all_lengths_against_brute_force(spark, state):
+    pairs = [(f"p{i}", f"p{i + 1}") for i in range(9)] + [("p2", "p7"), ("p2", "p2"), ("p1", "p0"), ("x", "y"), ("y", "z"), ("p4", "q"), ("q", "p6")]
+    got = {r["uid"]: r["score"] for r in communities.betweenness(edges(spark, *pairs), state=state).collect()}
+    assert got == pytest.approx(brandes(pairs), abs=2e-9)
+
+
+def test_betweenness_of_a_share_of_sources(spark):
+    pairs = [(f"a{i}", f"a{i + 1}") for i in range(12)] + [(f"a{i}", f"b{i}") for i in range(12)] + [("a0", "a12"), ("a3", "a9")]
+    exact, some = brandes(pairs), {r["uid"]: r["score"] for r in communities.betweenness(edges(spark, *pairs), share=0.6).collect()}
+    assert set(some) == set(exact) and max(abs(some[v] - exact[v]) for v in exact) < 0.25
+    assert communities.betweenness(edges(spark, ("a", "a"))).count() == 0
 
 
 def test_chains_and_path_sums(spark):
