@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators import dedup, match, retrieval
+from loomgraph.operators import dedup, match, ordered_dedup, retrieval
 from loomgraph.operators.rules import space_of
 from loomgraph.plans.bindings import Graph
 from loomgraph.plans.registry import query
@@ -28,8 +28,10 @@ def similar_names(g: Graph) -> DataFrame:
     return dedup.similar_names(g.nodes.where("label IN ('Technology', 'Person', 'Organization', 'Topic')"))
 
 
-@query("""WITH m AS (SELECT t.uid AS gone, l.keep FROM technologies t JOIN (SELECT name, brand, min(uid) AS keep FROM technologies GROUP BY name, brand) l ON t.name = l.name AND t.brand = l.brand WHERE uid <> keep)
-SELECT coalesce(a.keep, src) AS src, coalesce(b.keep, dst) AS dst, type, max(confidence) AS confidence FROM depends_on LEFT JOIN m a ON a.gone = src LEFT JOIN m b ON b.gone = dst WHERE coalesce(a.keep, src) <> coalesce(b.keep, dst) GROUP BY 1, 2, 3""")
+@query("""WITH m AS (SELECT t.uid AS gone, l.keep FROM technologies t JOIN (SELECT name, brand, min(uid) AS keep FROM technologies GROUP BY name, brand) l ON t.name = l.name AND t.brand = l.brand WHERE uid <> keep),
+e AS (SELECT coalesce(a.keep, src) AS s, coalesce(b.keep, dst) AS d, type, confidence, a.keep IS NOT NULL OR b.keep IS NOT NULL AS moved FROM depends_on LEFT JOIN m a ON a.gone = src LEFT JOIN m b ON b.gone = dst WHERE coalesce(a.keep, src) <> coalesce(b.keep, dst)),
+t AS (SELECT *, max(CAST(moved AS INT)) OVER (PARTITION BY s, d, type) AS touched FROM e)
+SELECT s AS src, d AS dst, type, confidence FROM t WHERE touched = 0 UNION ALL SELECT s, d, type, max(confidence) FROM t WHERE touched = 1 GROUP BY s, d, type""")
 def redirected_edges(g: Graph) -> DataFrame:
     """Technologies of one name and brand become one."""
     least = g.technologies.groupBy("name", "brand").agg(F.min("uid").alias("keep"))
@@ -37,6 +39,26 @@ def redirected_edges(g: Graph) -> DataFrame:
     return dedup.redirect(g.depends_on, merges)
 
 
+def _spelled(g: Graph) -> DataFrame:
+    """Technologies in the order of their keys, some of whose names are spelled otherwise, and typed by their kind."""
+    key, name = F.col("key"), F.col("name")
+    other = F.when(key % 4 == 0, F.upper(F.translate(name, " ", "_"))).when(key % 4 == 1, F.concat(name, F.lit("s"))).when(key % 9 == 2, F.concat(F.lit("new "), name)).otherwise(name)
+    return g.technologies.select("uid", key.alias("ord"), other.alias("name"), F.when(key % 11 != 0, F.col("kind")).alias("type"))
+
+
+@query()
+def ordered_merges(g: Graph) -> DataFrame:
+    """Which technologies an ordered pass merges into which; no SQL, equal to a plain pass over all pairs in the tests."""
+    return ordered_dedup.ordered_merges(_spelled(g))
+
+
+@query()
+def ordered_relations(g: Graph) -> DataFrame:
+    """Dependencies between the technologies that an ordered pass leaves."""
+    relations = g.depends_on.select("src", "dst", "type", F.lit(0.5).alias("weight"), "confidence", F.xxhash64("src", "dst").alias("chunk"))
+    return ordered_dedup.merged_relations(relations, ordered_dedup.ordered_merges(_spelled(g)).select("gone", "keep"))
+
+
 @query("""SELECT 'article:' || l_orderkey AS src, 'tech:' || l_partkey AS dst, 'DISCUSSES' AS type, CAST(sum(l_quantity) AS DOUBLE) AS weight, round(avg(1.0::DOUBLE - l_discount), 6) AS confidence, min(l_linenumber) AS chunk FROM lineitem GROUP BY l_orderkey, l_partkey""")
 def merged_edges(g: Graph) -> DataFrame:
     key = F.col
