@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators import dedup, match, ordered_dedup, retrieval
+from loomgraph.operators import dedup, match, ordered_dedup, retrieval, vector_index
 from loomgraph.operators.rules import space_of
 from loomgraph.plans.bindings import Graph
 from loomgraph.plans.registry import query
+from loomgraph.plans.session import shared_folder
 
 NORMAL = r"trim(regexp_replace(regexp_replace(lower(name), '[._-]', '', 'g'), '\s+', ' ', 'g'))"
 
@@ -127,6 +130,14 @@ def vector_top_k(g: Graph) -> DataFrame:
     return retrieval.nearest_vectors(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+@query()
+def vector_index_search(g: Graph) -> DataFrame:
+    """The same by an index over all vectors, which a search reads in part; no SQL, as it may miss some: recall is measured in the tests."""
+    vectors = g.table("embeddings")
+    index = vector_index.open_index(g.spark, vectors, f"{shared_folder(g.spark)}/vector-index-{uuid.uuid4().hex}")
+    return vectors.selectExpr("vec_id AS query", "vec_id", "0D AS score", "0 AS rank").limit(0) if index is None else vector_index.search(index, vectors, vectors.where("vec_id % 20 = 0"))
+
+
 @query("""WITH u AS (SELECT t.uid, t.name, count(d.src) AS n FROM topics t LEFT JOIN tagged_with d ON d.dst = t.uid GROUP BY t.uid, t.name)
 SELECT * FROM (SELECT 'local' AS way, uid, name, 1.0::DOUBLE AS score FROM technologies WHERE contains(lower(name), 'gear') ORDER BY uid LIMIT 50)
 UNION ALL SELECT * FROM (SELECT 'global', uid, name, 1.3::DOUBLE FROM u ORDER BY n DESC, uid LIMIT 5)
