@@ -20,8 +20,8 @@ def test_recall_of_every_twentieth_vector(spark, tmp_path, sf):
     found, exact = V.search(index, vectors, asked), retrieval.nearest_vectors(vectors, asked)
     row = V.recall(found, exact).first()
     assert row["neighbours"] == 5 * asked.count() and row["recall"] >= 0.9
-    close = found.join(exact.withColumnRenamed("score", "true").select("query", "vec_id", "true"), ["query", "vec_id"])
-    assert close.where("abs(score - true) > 2e-6").count() == 0 and found.where("query = vec_id").count() == 0
+    close = found.join(exact.withColumnRenamed("score", "want").select("query", "vec_id", "want"), ["query", "vec_id"])
+    assert close.where("abs(score - want) > 2e-6").count() == 0 and found.where("query = vec_id").count() == 0
 
 
 def test_all_lists_and_candidates_give_exact_neighbours(spark, tmp_path):
