@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import claims as C
+from loomgraph.operators import refine
 from loomgraph.plans.bindings import AS_OF, Graph
 from loomgraph.plans.registry import query
+from loomgraph.plans.session import shared_folder
+from loomgraph.sources.versions import Versions
 
 TEXT_DATE = lambda name: F.col(name).cast("string").alias(name)
 PAIRS = """entity AS (SELECT uid, unnest(related_entities) AS m FROM claims),
@@ -134,3 +139,35 @@ def evidence_coverage(g: Graph) -> DataFrame:
 @query("""SELECT strftime(ts, '%Y-%m') AS month, uid, count(*) AS moved FROM evidence WHERE ts < TIMESTAMP '2024-01-16 00:00:00' GROUP BY 1, 2""")
 def evidence_cold_storage(g: Graph) -> DataFrame:
     return C.cold_storage(g.events, "2024-01-26", 10).groupBy("month", "uid").agg(F.count("*").alias("moved"))
+
+
+REFINED = f"""e AS (SELECT src, dst, type, CASE WHEN confidence = 0.9 THEN 'extractor' ELSE 'rule' END AS source FROM depends_on), said AS (SELECT DISTINCT dst AS uid, src AS "by" FROM discusses),
+w AS (SELECT e.src, e.dst, e.type, count(DISTINCT x."by") AS n FROM e JOIN said x ON x.uid = e.src JOIN said y ON y.uid = e.dst AND y."by" = x."by" WHERE source = 'extractor' GROUP BY ALL HAVING count(DISTINCT x."by") > 1),
+d AS (SELECT *, {DECAYED} AS raw FROM claims), r AS (SELECT * EXCLUDE (confidence, last_verified), confidence AS before, last_verified AS verified_before, valid_until IS NULL AND confidence > 0.05 AND abs(raw - confidence) >= 0.01 AS moved FROM d),
+c AS (SELECT *, CASE WHEN moved THEN round(raw, 3) ELSE before END AS confidence, CASE WHEN moved THEN DATE '{AS_OF}' ELSE verified_before END AS last_verified FROM r)"""
+
+
+def _versioned(g: Graph) -> Versions:
+    """Edges and claims as a first version, in a folder of their own."""
+    source = F.when((F.col("type") == "DEPENDS_ON") & (F.col("confidence") == 0.9), "extractor").otherwise("rule")
+    edges = g.depends_on.unionByName(g.discusses).select("src", "dst", "type", source.alias("source"), F.lit(None).cast("double").alias("weight"))
+    claims = g.claims.drop("content", "key").withColumn("history", F.lit(None).cast(f"array<{refine.ENTRY}>"))
+    return Versions.create(g.spark, f"{shared_folder(g.spark)}/versions-{uuid.uuid4().hex}", {"edges": edges, "claims": claims})
+
+
+@query(f"""WITH {REFINED}, x AS (SELECT DISTINCT uid, claim_type, confidence, lower(unnest(related_entities)) AS entity FROM c WHERE valid_until IS NULL)
+SELECT (SELECT count(*) FROM e JOIN w USING (src, dst, type) WHERE source = 'extractor') AS weights_updated, (SELECT count(*) FROM c WHERE moved) AS confidence_decayed,
+  (SELECT count(*) FROM (SELECT DISTINCT a.uid, b.uid FROM x a JOIN x b ON a.entity = b.entity AND a.claim_type = b.claim_type AND a.uid < b.uid AND abs(a.confidence - b.confidence) > 0.3)) AS conflicts_found,
+  (SELECT count(*) FROM c WHERE valid_from < DATE '{AS_OF}' - 180 AND confidence < 0.3 AND (last_verified IS NULL OR last_verified < DATE '{AS_OF}' - 180)) AS prune_candidates""")
+def refined_graph(g: Graph) -> DataFrame:
+    """What a whole refinement changes and finds, step by step over versions of the tables."""
+    return refine.refine(_versioned(g), AS_OF)
+
+
+@query(f"""WITH {REFINED} SELECT uid, CASE WHEN moved THEN 2 ELSE 1 END AS entries, coalesce(before, 0.5) AS baseline, coalesce(confidence, 0.5) AS latest, CASE WHEN moved THEN 'temporal decay' ELSE 'initial baseline' END AS reason FROM c""")
+def claim_histories(g: Graph) -> DataFrame:
+    """The histories of all claims once a refinement has begun and appended them."""
+    tables = _versioned(g)
+    refine.refine(tables, AS_OF)
+    last = F.element_at("history", -1)
+    return tables.read("claims").select("uid", F.size("history").alias("entries"), F.col("history")[0]["confidence"].alias("baseline"), last["confidence"].alias("latest"), last["reason"].alias("reason"))

@@ -14,7 +14,8 @@ def articles(spark: SparkSession, path: str, since: str | None = None, prefix: s
     return parsed_articles(reader.text(path, wholetext=True).select(F.col("value").alias("raw"), F.input_file_name().alias("file")), prefix)
 
 
-def parsed_articles(raw: DataFrame, prefix: str = "") -> DataFrame:
+def parsed_articles(raw: DataFrame, prefix: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Articles of (raw, file); keep: further columns to carry along."""
     head = F.regexp_extract("raw", r"(?s)^---\n(.*?)\n---", 1)
     body = F.regexp_replace("raw", r"(?s)^---\n.*?\n---\n?", "")
     field = lambda name: F.trim(F.regexp_extract(head, rf"(?m)^{name}:\s*(.*)$", 1))
@@ -29,6 +30,7 @@ def parsed_articles(raw: DataFrame, prefix: str = "") -> DataFrame:
         F.when(heading != "", heading).otherwise(F.substring_index("file", "/", -1)).alias("title"),
         F.slice(F.regexp_extract_all(body, F.lit(r"(?m)^[-*] (.+)$"), F.lit(1)), 1, 5).alias("bullets"),
         body.alias("content"),
+        *keep,
     )
 
 
