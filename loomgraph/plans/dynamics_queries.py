@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators import cascade, pair_compiler
 from loomgraph.operators import causal as K
 from loomgraph.operators import scoring as S
 from loomgraph.operators import simulate as M
@@ -110,6 +111,58 @@ def pair_rules(g: Graph) -> DataFrame:
     return M.fire(RULES, nodes, edges)
 
 
+COMPILED = """cn AS (SELECT uid, key, CASE kind WHEN 'promo' THEN 'Investor' WHEN 'small' THEN 'Event' ELSE kind END AS object_type, CASE WHEN key % 6 = 0 THEN '' ELSE 'c' || (key // 20) END AS community_id, (size - 25) / 25.0::DOUBLE AS stance,
+  (key % 11) / 10.0::DOUBLE AS volatility, (key % 100) / 100.0::DOUBLE AS influence, key % 2 = 0 AS is_active, (key % 10) / 10.0::DOUBLE AS magnitude FROM technologies),
+ce AS (SELECT src, dst, type FROM se UNION ALL SELECT 'tech:' || key, 'tech:' || (key + 1), 'LEADS_TO' FROM cn WHERE key % 4 = 0 UNION ALL SELECT 'tech:' || key, 'tech:' || (key // 3), 'OPPOSES' FROM cn WHERE key % 9 = 0 AND key > 0
+  UNION ALL SELECT 'tech:' || key, 'tech:' || (key + 1), 'ALLIED_WITH' FROM cn WHERE key % 7 = 0)"""
+
+
+def _rule_world(g: Graph) -> tuple[DataFrame, DataFrame]:
+    key, tech, t = F.col("key"), lambda c: F.concat(F.lit("tech:"), F.floor(c).cast("string")), g.technologies
+    kind = F.when(F.col("kind") == "promo", "Investor").when(F.col("kind") == "small", "Event").otherwise(F.col("kind"))
+    community = F.when(key % 6 == 0, "").otherwise(F.concat(F.lit("c"), F.floor(key / 20).cast("string")))
+    nodes = t.select("uid", kind.alias("object_type"), community.alias("community_id"), ((F.col("size") - 25) / 25.0).alias("stance"), (key % 11 / 10.0).alias("volatility"), (key % 100 / 100.0).alias("influence_score"), (key % 2 == 0).alias("is_active"), (key % 10 / 10.0).alias("magnitude"))
+    more = lambda rows, to, kind: t.where(rows).select(F.col("uid").alias("src"), tech(to).alias("dst"), F.lit(kind).alias("type"))
+    edges = _world(g)[1].select("src", "dst", "type").unionAll(more("key % 4 = 0", key + 1, "LEADS_TO")).unionAll(more("key % 9 = 0 AND key > 0", key / 3, "OPPOSES")).unionAll(more("key % 7 = 0", key + 1, "ALLIED_WITH"))
+    return nodes, edges
+
+
+@query(f"WITH {WORLD}, {COMPILED}," + """ p AS (SELECT DISTINCT s.uid AS source, t.uid AS target, e.type, s.key, s.stance, s.influence, s.object_type, s.is_active, s.magnitude, t.volatility AS t_volatility, t.object_type AS t_type
+  FROM ce e JOIN cn s ON s.uid = e.src JOIN cn t ON t.uid = e.dst WHERE e.src <> e.dst), near AS (SELECT src, dst FROM ce UNION SELECT dst, src FROM ce),
+h AS (SELECT DISTINCT 'opposition' AS rule, 10 AS priority, source, target FROM p WHERE key % 3 = 0 AND type IN ('INFLUENCES', 'COMPETES_WITH', 'DEPENDS_ON') AND stance > 0.6 AND NOT EXISTS (SELECT 1 FROM ce o WHERE o.src = source AND o.dst = target AND o.type = 'OPPOSES')
+UNION ALL SELECT DISTINCT 'influence_propagation', 6, source, target FROM p WHERE key % 3 = 0 AND type = 'INFLUENCES' AND influence > 0.7
+UNION ALL SELECT DISTINCT 'dependency_crisis', 7, source, target FROM p WHERE key % 4 = 0 AND type = 'DEPENDS_ON' AND t_volatility > 0.5
+UNION ALL SELECT DISTINCT 'event_chain', 10, source, target FROM p WHERE key % 5 = 0 AND type = 'LEADS_TO' AND object_type = 'Event' AND t_type = 'Event' AND is_active AND magnitude > 0.5
+UNION ALL SELECT 'flight_to_safety', 9, src, dst FROM near JOIN cn s ON s.uid = src JOIN cn t ON t.uid = dst WHERE src <> dst AND s.key % 4 = 0 AND s.volatility > 0.7 AND s.object_type IN ('Investor', 'ForeignInvestor', 'InstitutionalInvestor'))
+SELECT * FROM h""")
+def rules_on_change(g: Graph) -> DataFrame:
+    """Pairs that the rules on change hit, where every third stance, fourth volatility and fifth activity changed."""
+    key = F.substring("uid", 6, 20).cast("bigint")
+    nodes, edges = _rule_world(g)
+    watched = [(3, "stance"), (4, "volatility"), (5, "is_active")]
+    changes = g.technologies.select("uid", F.explode(F.array_compact(F.array(*[F.when(key % n == 0, F.lit(p)) for n, p in watched]))).alias("property"))
+    return pair_compiler.fired_on_change(changes, nodes, edges)
+
+
+@query(f"WITH {WORLD}, {COMPILED}," + """ p AS (SELECT s.uid AS source, t.uid AS target, abs(s.stance - t.stance) AS apart FROM cn s JOIN cn t ON s.community_id = t.community_id AND s.uid < t.uid WHERE s.community_id <> '')
+SELECT 'alliance' AS rule, 8 AS priority, source, target FROM p WHERE apart < 0.2 AND NOT EXISTS (SELECT 1 FROM ce o WHERE o.src = source AND o.dst = target AND o.type = 'ALLIED_WITH') UNION ALL SELECT 'community_cohesion', 5, source, target FROM p WHERE apart > 0.3""")
+def rules_on_evaluation(g: Graph) -> DataFrame:
+    """Pairs that the other rules hit, within communities of twenty."""
+    return pair_compiler.fired_on_evaluation(*_rule_world(g))
+
+
+@query("""WITH RECURSIVE b AS (SELECT dst AS source, src AS target, CASE WHEN confidence = 0.9 THEN 'invalidate_downstream' ELSE 'notify' END AS action FROM depends_on UNION ALL SELECT uid, 'tech:' || (key // 10), 'notify' FROM technologies WHERE key % 10 = 7),
+c(root, target, depth, via) USING KEY (root, target) AS (SELECT uid AS root, b.target, 1 AS depth, min(b.source) AS via FROM technologies t JOIN b ON b.source = t.uid WHERE t.key % 20 = 2 GROUP BY uid, b.target
+  UNION SELECT c.root, b.target, c.depth + 1, min(b.source) FROM c JOIN b ON b.source = c.target LEFT JOIN recurring.c k ON k.root = c.root AND k.target = b.target WHERE k.root IS NULL AND c.target <> c.root GROUP BY c.root, b.target, c.depth)
+SELECT root, c.target, CAST(depth AS INT) AS depth, via, min(action) AS action FROM c JOIN b ON b.source = via AND b.target = c.target GROUP BY ALL""")
+def change_cascades(g: Graph) -> DataFrame:
+    """What changes of every twentieth technology reach through bindings along dependencies, some of which go round."""
+    action = F.when(F.col("confidence") == 0.9, "invalidate_downstream").otherwise("notify")
+    bindings = g.depends_on.select(F.col("dst").alias("source"), F.col("src").alias("target"), action.alias("action"))
+    back = g.technologies.where("key % 10 = 7").select(F.col("uid").alias("source"), F.concat(F.lit("tech:"), F.floor(F.col("key") / 10).cast("string")).alias("target"), F.lit("notify").alias("action"))
+    return cascade.cascade(g.technologies.where("key % 20 = 2").select(F.col("uid").alias("name")), bindings.unionByName(back))
+
+
 ACTIONS = [
     M.Action("protest", "promo", 5, 2, "volatility", ">", 0.4, "stance", "subtract", 0.3),
     M.Action("invest", "promo", 3, 1, "stance", ">=", 0.0, "stance", "add", 0.2),
