@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import segments as G
 from loomgraph.operators import match
+from loomgraph.operators import report_gate as RG
 from loomgraph.plans.bindings import Graph
 from loomgraph.plans.registry import query
 from loomgraph.sources import files
@@ -47,6 +48,49 @@ def report_gate(g: Graph) -> DataFrame:
     return counted.groupBy("doc_id").agg(F.sum("n").alias("lines"), F.count_if((F.col("n") > 1) & ~blank).alias("repeated"), F.sum(F.when(blank, F.col("n")).otherwise(0)).alias("blank"), (F.sum(F.col("n") * F.length("line")) < 500).alias("short"))
 
 
+WRITTEN = """w AS (SELECT doc_id AS report, CASE WHEN doc_id % 3 = 0 THEN text ELSE '# Report' || chr(10) || '## Executive Summary' || chr(10) || chr(10) || text || chr(10) || '## 인과 분석' || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |'
+  || CASE WHEN doc_id % 5 = 0 THEN ' 3 |' ELSE '' END || chr(10) || chr(10) || '## 구조 분석' || chr(10) || CASE WHEN doc_id % 7 = 0 THEN '' ELSE '- N/A' || chr(10) END || '## 부록' || chr(10) || substr(text, 1, 40) END AS text FROM documents)"""
+
+
+def _written(g: Graph) -> DataFrame:
+    """Documents as reports, two thirds of them with headings, tables and lists around their text."""
+    text, when, key = F.col("text"), F.when, F.col("doc_id")
+    table = F.concat(F.lit("\n## 인과 분석\n| a | b |\n|---|---|\n| 1 | 2 |"), when(key % 5 == 0, " 3 |").otherwise(""))
+    tail = F.concat(F.lit("\n\n## 구조 분석\n"), when(key % 7 == 0, "").otherwise("- N/A\n"), F.lit("## 부록\n"), F.substring(text, 1, 40))
+    whole = F.concat(F.lit("# Report\n## Executive Summary\n\n"), text, table, tail)
+    return g.table("documents").select(key.alias("report"), when(key % 3 == 0, text).otherwise(whole).alias("text"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(f"""WITH {WRITTEN}, l0 AS (SELECT report, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM w WHERE text IS NOT NULL),
+l1 AS (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS bare, starts_with(line, '## ') AS heading FROM l0),
+l AS (SELECT *, CAST(sum(CAST(heading AS INT)) OVER o AS INT) AS section, last_value(CASE WHEN heading THEN bare END IGNORE NULLS) OVER o AS title FROM l1 WINDOW o AS (PARTITION BY report ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+v AS (SELECT *, lead(heading, 1) OVER o AS h1, lead(heading, 2) OVER o AS h2, lead(heading, 3) OVER o AS h3, lead(bare = '' OR starts_with(bare, {_quoted(RG.BASIS)}), 1) OVER o AS v1, lead(bare = '' OR starts_with(bare, {_quoted(RG.BASIS)}), 2) OVER o AS v2 FROM l WINDOW o AS (PARTITION BY report ORDER BY i)),
+t0 AS (SELECT report, i, length(bare) - length(replace(bare, '|', '')) - 1 AS c, i - row_number() OVER (PARTITION BY report ORDER BY i) AS t FROM l WHERE starts_with(bare, '|') AND ends_with(bare, '|')),
+t1 AS (SELECT *, first_value(c) OVER (PARTITION BY report, t ORDER BY i) AS f FROM t0), t2 AS (SELECT *, row_number() OVER (PARTITION BY report, t ORDER BY i) AS k FROM t1 WHERE c <> f),
+s0 AS (SELECT *, lag(title) OVER (PARTITION BY report, bare ORDER BY i) AS before FROM l WHERE section > 0 AND NOT heading AND length(bare) > 20), s1 AS (SELECT *, row_number() OVER (PARTITION BY report ORDER BY i) AS k FROM s0 WHERE before <> title),
+p0 AS (SELECT *, sum(CAST(line = '' AS INT)) OVER (PARTITION BY report, section ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM l WHERE section > 0),
+p1 AS (SELECT report, section, p, any_value(title) AS title, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS text, bool_or(contains(line, '종합 해석') OR contains(line, '이해관계자 시각')) AS marked FROM p0 GROUP BY report, section, p),
+p2 AS (SELECT report, section, any_value(title) AS title, bool_or(marked OR (length(text) > 80 AND substr(text, 1, 1) NOT IN ('|', '-', '#', '*', '>'))) AS "read" FROM p1 GROUP BY report, section),
+p3 AS (SELECT report, greatest(count(*) - 4, 1) AS main, count(*) FILTER (WHERE NOT "read" AND NOT contains(title, '부록')) AS unread FROM p2 GROUP BY report),
+n AS (SELECT report, section, title, count(*) FILTER (WHERE {" OR ".join(f"contains(line, {_quoted(m)})" for m in RG.MISSING)}) AS none, count(*) FILTER (WHERE {" OR ".join(f"contains(line, {_quoted(m)})" for m in RG.MISSING)} OR starts_with(bare, '|') OR starts_with(bare, '-')) AS data
+  FROM l WHERE section > 0 AND NOT heading GROUP BY report, section, title)
+SELECT report, 'missing section' AS "check", s AS detail FROM w, (SELECT unnest([{", ".join(map(_quoted, RG.SECTIONS))}]) AS s) WHERE NOT contains(coalesce(text, ''), s)
+UNION ALL SELECT report, 'empty section', bare FROM v WHERE heading AND (h1 OR (v1 AND h2) OR (v1 AND v2 AND h3))
+UNION ALL SELECT report, 'broken table', 'line ' || (i + 1) || ': ' || f || ' and ' || c || ' columns' FROM t2 WHERE k = 1
+UNION ALL SELECT report, 'artifact', a FROM w, (SELECT unnest([{", ".join(map(_quoted, RG.ARTIFACTS))}]) AS a) WHERE text IS NOT NULL AND regexp_matches(text, a)
+UNION ALL SELECT report, 'too short', CAST(length(coalesce(text, '')) AS VARCHAR) FROM w WHERE length(coalesce(text, '')) < 500
+UNION ALL SELECT report, 'repeated sentence', substr(bare, 1, 50) || ': ' || before || ' and ' || title FROM s1 WHERE k = 1
+UNION ALL SELECT report, 'uninterpreted', unread || ' of ' || main FROM p3 WHERE unread / main::DOUBLE > 0.6
+UNION ALL SELECT report, 'without data', title FROM n WHERE data > 0 AND none / data::DOUBLE > 0.5 AND NOT contains(title, '부록')""")
+def report_issues(g: Graph) -> DataFrame:
+    """What the eight checks of a report find."""
+    return RG.issues(_written(g))
+
+
 INCIDENTS = {"code": "`", "comma": ",", "stop": "[.]"}
 
 
