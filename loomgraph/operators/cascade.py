@@ -15,7 +15,7 @@ def cascade(changes: DataFrame, bindings: DataFrame) -> DataFrame:
     action the least of the actions on that binding. A root that its own cascade reaches again is told once, and led no further: bindings that go
     round end there. Names of null are left out.
     """
-    steps = bindings.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target", "action").distinct()
+    steps = written(bindings.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target", "action").distinct())
     roots = changes.select(F.col("name").alias("root")).where("root IS NOT NULL").distinct()
     new, seen, depth = roots.select("root", F.col("root").alias("at")), None, 0
     while True:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import connected_components
-from loomgraph.plans.session import checkpointed, shared_folder
+from loomgraph.plans.session import checkpointed, shared_folder, written
 
 
 def community_name(names: Column) -> Column:
@@ -173,15 +173,16 @@ def _block_dependencies(step: DataFrame, sources: DataFrame) -> DataFrame:
     Levels of a breadth-first search from all sources of the block count shortest paths; going back, each node's dependency is shared
     among those before it.
     """
-    seen = level = checkpointed(sources.select(F.col("uid").alias("s"), F.col("uid").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths")))
+    level = written(sources.select(F.col("uid").alias("s"), F.col("uid").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths")))
     levels = [level]
     while True:
         ahead = level.join(step, level["v"] == step["src"]).groupBy("s", "dst").agg(F.sum("paths").alias("paths")).withColumnRenamed("dst", "v")
-        level = checkpointed(ahead.join(seen.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(len(levels)).alias("d"), "paths"))
+        for known in levels[-2:]:  # neighbours of a level are in it, in the one before, or new
+            ahead = ahead.join(known.select("s", "v"), ["s", "v"], "left_anti")
+        level = written(ahead.select("s", "v", F.lit(len(levels)).alias("d"), "paths"))
         if level.isEmpty():
             break
         levels.append(level)
-        seen = seen.unionAll(level)
     back, total = None, None
     for d in range(len(levels) - 1, 0, -1):
         at = levels[d].select("s", "v", "paths")
@@ -190,7 +191,7 @@ def _block_dependencies(step: DataFrame, sources: DataFrame) -> DataFrame:
         total = own if total is None else total.unionAll(own)
         before = levels[d - 1].select("s", F.col("v").alias("u"), F.col("paths").alias("paths_u"))
         links = at.join(step.select(F.col("dst").alias("v"), F.col("src").alias("u")), "v").join(before, ["s", "u"])
-        back = checkpointed(links.groupBy("s", F.col("u").alias("v")).agg(F.sum(F.col("paths_u") / F.col("paths") * (1.0 + F.col("owed"))).alias("owed")))
+        back = written(links.groupBy("s", F.col("u").alias("v")).agg(F.sum(F.col("paths_u") / F.col("paths") * (1.0 + F.col("owed"))).alias("owed")))
     return total if total is not None else levels[0].select("s", "v", F.lit(0.0).alias("owed"))
 
 
@@ -202,8 +203,8 @@ def betweenness(edges: DataFrame, share: float = 1.0, state: int = STATE) -> Dat
     error is below e with probability 1 - 2 n exp(-2 k e^2) for k sources and n nodes; share 1 is exact. Loops and parallel edges change nothing.
     """
     spark = edges.sparkSession
-    step = checkpointed(edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
-    nodes = checkpointed(step.select(F.col("src").alias("uid")).distinct())
+    step = written(edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
+    nodes = written(step.select(F.col("src").alias("uid")).distinct())
     n = nodes.count()
     turn = F.pmod(F.xxhash64(F.col("uid"), F.lit("source")), F.lit(1 << 30))
     sources = nodes.where(turn < int(share * (1 << 30)))

@@ -94,3 +94,48 @@ def shortest_distance(edges: DataFrame, pairs: DataFrame, depth: int = 5) -> Dat
         seen = seen.unionAll(frontier)
     near = seen.select(F.col("seed").alias("a"), F.col("at").alias("b"), "distance")
     return pairs.select("a", "b").distinct().join(near, ["a", "b"], "left")
+
+
+#: Paths of a pair that are told.
+ROUTES = 3
+
+
+def _shortest_parts(starts: DataFrame, step: DataFrame, depth: int, forward: bool) -> list[DataFrame]:
+    """For each number of hops up to depth, (seed, at, paths): nodes at that distance from the seed and their ROUTES least shortest paths.
+
+    Forward paths go from the seed to the node, others from the node to the seed; more than the least few never matter, as all paths
+    of a node and distance are of one length and go on in the same ways.
+    """
+    level = checkpointed(starts.select("seed", F.col("seed").alias("at"), F.array(F.array("seed")).alias("paths")))
+    levels, seen = [level], level.select("seed", "at")
+    for _ in range(depth):
+        grown = F.array_append("path", F.col("dst")) if forward else F.array_prepend("path", F.col("dst"))
+        ahead = level.join(step, level["at"] == step["src"]).select("seed", "dst", F.explode("paths").alias("path"))
+        ahead = ahead.join(seen.withColumnRenamed("at", "dst"), ["seed", "dst"], "left_anti").select("seed", F.col("dst").alias("at"), grown.alias("path"))
+        few = top_per(ahead, ["seed", "at"], [F.col("path")], ROUTES)
+        level = checkpointed(few.groupBy("seed", "at").agg(F.array_sort(F.collect_list("path")).alias("paths")))
+        levels.append(level)
+        seen = seen.unionAll(level.select("seed", "at"))
+    return levels
+
+
+def shortest_routes(edges: DataFrame, pairs: DataFrame, depth: int = 5) -> DataFrame:
+    """(a, b, distance, rank, path): of each wanted pair the first ROUTES of its shortest undirected paths of at most `depth` hops.
+
+    Two searches meet in the middle: from the starts over half of the hops and from the ends over the other half, so neither goes as far as a
+    search from one end, and only nodes where both meet make paths. A pair of one node has the path of that node; pairs too far apart have no rows.
+    """
+    wanted = checkpointed(pairs.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct())
+    step = checkpointed(both_ways(edges.select("src", "dst")).where("src <> dst").distinct())
+    ahead = _shortest_parts(wanted.select(F.col("a").alias("seed")).distinct(), step, (depth + 1) // 2, forward=True)
+    back = _shortest_parts(wanted.select(F.col("b").alias("seed")).distinct(), step, depth // 2, forward=False)
+    left, found = wanted, None
+    for d in range(depth + 1):
+        near, far = ahead[(d + 1) // 2], back[d // 2]
+        met = left.join(near.select(F.col("seed").alias("a"), "at", "paths"), "a").join(far.select(F.col("seed").alias("b"), "at", F.col("paths").alias("rest")), ["b", "at"])
+        whole = F.flatten(F.transform("paths", lambda p: F.transform("rest", lambda r: F.concat(p, F.slice(r, F.lit(2), F.size(r))))))
+        routes = top_per(met.select("a", "b", F.explode(whole).alias("path")), ["a", "b"], [F.col("path")], ROUTES, rank="rank")
+        level = checkpointed(routes.select("a", "b", F.lit(d).alias("distance"), "rank", "path"))
+        found = level if found is None else found.unionByName(level)
+        left = checkpointed(left.join(level.select("a", "b"), ["a", "b"], "left_anti"))
+    return found

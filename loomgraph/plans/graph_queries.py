@@ -136,6 +136,21 @@ def shortest_paths(g: Graph) -> DataFrame:
     return match.shortest_distance(g.depends_on, pairs).withColumn("distance", F.coalesce("distance", F.lit(-1)))
 
 
+@query("""WITH RECURSIVE b AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM depends_on UNION ALL SELECT dst, src FROM depends_on) WHERE src <> dst),
+w AS (SELECT uid AS a, 'tech:' || (key * 7 // 10) AS b FROM technologies UNION SELECT uid, 'tech:' || (key // 12) FROM technologies UNION SELECT uid, 'tech:' || (key // 36) FROM technologies UNION SELECT uid, uid FROM technologies WHERE key % 50 = 0),
+r(seed, node, distance) USING KEY (seed, node) AS (SELECT DISTINCT a AS seed, a AS node, 0 AS distance FROM w UNION SELECT r.seed, b.dst, r.distance + 1 FROM r JOIN b ON b.src = r.node LEFT JOIN recurring.r k ON k.seed = r.seed AND k.node = b.dst WHERE r.distance < 5 AND k.seed IS NULL),
+p AS (SELECT a AS seed, a AS node, 0 AS d, [a] AS path FROM (SELECT DISTINCT a FROM w) UNION ALL SELECT p.seed, b.dst, p.d + 1, list_append(p.path, b.dst) FROM p JOIN b ON b.src = p.node JOIN r ON r.seed = p.seed AND r.node = b.dst AND r.distance = p.d + 1),
+k AS (SELECT w.a, w.b, p.d AS distance, path, row_number() OVER (PARTITION BY w.a, w.b ORDER BY path) AS rank FROM w JOIN p ON p.seed = w.a AND p.node = w.b)
+SELECT a, b, distance, CAST(rank AS INT) AS rank, array_to_string(path, '>') AS path FROM k WHERE rank <= 3""")
+def shortest_routes(g: Graph) -> DataFrame:
+    """The first three shortest paths, of five hops at most, between each technology and three of lower keys."""
+    key = F.col("key")
+    to = lambda k: g.technologies.select(F.col("uid").alias("a"), F.concat(F.lit("tech:"), F.floor(k).cast("string")).alias("b"))
+    pairs = to(key * 7 / 10).unionAll(to(key / 12)).unionAll(to(key / 36))
+    pairs = pairs.unionAll(g.technologies.where("key % 50 = 0").select(F.col("uid").alias("a"), F.col("uid").alias("b")))
+    return match.shortest_routes(g.depends_on, pairs).withColumn("path", F.array_join("path", ">"))
+
+
 @query("""WITH members AS (SELECT uid FROM technologies WHERE kind = 'promo')
 SELECT src, dst, confidence FROM depends_on WHERE src IN (SELECT uid FROM members) AND dst IN (SELECT uid FROM members) ORDER BY confidence DESC, src, dst LIMIT 10""")
 def induced_edges(g: Graph) -> DataFrame:

@@ -81,18 +81,19 @@ def question_entities(g: Graph) -> DataFrame:
     return out.select("conv_id", "turn", F.array_join(T.question_entities(F.col("text"), F.col("added")), "|").alias("entities"))
 
 
-@query("""WITH s AS (SELECT uid FROM technologies WHERE key % 20 = 0), w AS (SELECT src, dst, type, confidence FROM edges UNION ALL SELECT dst, src, type, confidence FROM edges),
+@query("""WITH s AS (SELECT uid FROM technologies WHERE key % 20 = 0), e AS (SELECT *, row_number() OVER () AS id FROM edges), w AS (SELECT id, src, dst, type, confidence FROM e UNION ALL SELECT id, dst, src, type, confidence FROM e),
 one AS (SELECT s.uid, w.* FROM s JOIN w ON w.src = s.uid), d AS (SELECT one.uid, 'direct' AS part, type AS kind, label, name, confidence AS score FROM one JOIN nodes n ON n.uid = one.dst),
-i AS (SELECT DISTINCT one.uid, n.label, n.name FROM one JOIN w ON w.src = one.dst JOIN nodes n ON n.uid = w.dst WHERE w.dst <> one.uid), j AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY label, name) AS k FROM i),
+two AS (SELECT one.uid, one.id AS e1, w.id AS e2, w.dst FROM one JOIN w ON w.src = one.dst AND w.id <> one.id), three AS (SELECT DISTINCT two.uid, w.dst FROM two JOIN w ON w.src = two.dst AND w.id <> e1 AND w.id <> e2),
+i AS (SELECT DISTINCT x.uid, n.label, n.name FROM (SELECT uid, dst FROM two UNION SELECT uid, dst FROM three) x JOIN nodes n ON n.uid = x.dst WHERE x.dst <> x.uid), j AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY label, name) AS k FROM i),
 f AS (SELECT uid, dst AS at, 1 AS hops FROM one), t AS (SELECT DISTINCT f.uid, w.dst AS at, 2 AS hops FROM f JOIN w ON w.src = f.at WHERE w.dst IN (SELECT src FROM about) AND w.dst <> f.uid),
 c AS (SELECT x.uid, about.dst AS claim, min(hops) AS hops FROM (SELECT * FROM f UNION ALL SELECT * FROM t) x JOIN about ON about.src = x.at GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY hops, claim) AS k FROM c),
 z AS (SELECT brand, count(*) - 1 AS n FROM technologies GROUP BY brand)
 SELECT * FROM d UNION ALL SELECT uid, 'indirect', NULL, label, name, NULL FROM j WHERE k <= 30 UNION ALL SELECT uid, 'claim', NULL, 'Claim', claim, hops FROM r WHERE k <= 10
 UNION ALL SELECT uid, 'community', NULL, 'Community', z.brand, n FROM technologies JOIN z ON z.brand = technologies.brand WHERE key % 20 = 0""")
 def impact_listing(g: Graph) -> DataFrame:
-    """What a change of each technology whose key is divisible by 20 reaches within two edges."""
+    """What a change of each technology whose key is divisible by 20 reaches within three edges."""
     members = g.technologies.select("uid", F.col("brand").alias("community"))
-    return impact.listing(g.technologies.where("key % 20 = 0"), g.nodes, g.edges, g.about, members, depth=2)
+    return impact.listing(g.technologies.where("key % 20 = 0"), g.nodes, g.edges, g.about, members)
 
 
 LINKS = """u AS (SELECT 'topic:n:' || n_nationkey AS uid, 'region ' || n_regionkey AS community FROM nation),

@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from loomgraph.functions import text as T
 from loomgraph.operators import dedup
 from loomgraph.operators import ordered_dedup as O
 
@@ -79,3 +80,41 @@ def test_parallel_edges_that_no_merge_touches_stay(spark):
     assert sorted(map(tuple, dedup.redirect(edges, merges).collect())) == [("k", "y", "S", 4.0), ("x", "y", "R", 1.0), ("x", "y", "R", 2.0), ("z", "z", "S", 6.0)]
     bare = dedup.redirect(edges.select("src", "dst", "type"), merges)
     assert sorted(map(tuple, bare.collect())) == [("k", "y", "S"), ("x", "y", "R"), ("x", "y", "R"), ("z", "z", "S")]
+
+
+def similarity(a, b):
+    aliases = {n: k for k, own in T.ALIASES.items() for n in (k, *own)}
+    if aliases.get(a) and aliases.get(a) == aliases.get(b):
+        return 0.95
+    short, long = sorted((a, b), key=len)
+    if short in long and len(short) >= 3 and len(long) - len(short) <= 3:
+        return 0.9
+    return 1 - edits(a, b) / max(len(a), len(b), 1)
+
+
+def names_of(seed, n):
+    random.seed(seed)
+    out = set(T.ALIASES) | {x for own in T.ALIASES.values() for x in own}
+    while len(out) < n:
+        word = "".join(random.choice("ab") for _ in range(random.randrange(1, 26)))
+        out |= {word, word + random.choice("abc"), random.choice("abc") + word[1:], word[: len(word) // 2] + word[len(word) // 2 + 1 :] + "a", word[::-1][:1] + word}
+    return sorted(out)
+
+
+def test_review_is_what_a_pass_in_order_of_score_leaves(spark):
+    nodes = [(f"{label}{i}", label, name) for label, own in (("Technology", names_of(1, 260)), ("Person", names_of(2, 120)), ("Topic", ["only"])) for i, name in enumerate(own)]
+    normal = lambda s: " ".join(s.lower().replace(".", "").replace("_", "").replace("-", "").split())
+    pairs = []
+    for label in ("Technology", "Person"):
+        own = sorted({normal(n) for _, k, n in nodes if k == label})
+        pairs += [(f"{label}:{a}", f"{label}:{b}", similarity(a, b)) for i, a in enumerate(own) for b in own[i + 1 :]]
+    pairs = [p for p in pairs if p[2] >= 0.85]
+    frame = spark.createDataFrame(nodes, "uid string, label string, name string").repartition(3)
+    assert {(f"{r['label']}:{r['x']}", f"{r['label']}:{r['y']}") for r in dedup.similar_names(frame).collect()} == {p[:2] for p in pairs}
+    gone, kept = set(), set()
+    for a, b, score in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if score >= dedup.MERGE and not {a, b} & (gone | kept):
+            gone.add(b)
+            kept.add(a)
+    got = {(r["a"], r["b"]): r["score"] for r in dedup.left_for_review(frame).collect()}
+    assert got == pytest.approx({(a, b): s for a, b, s in pairs if not {a, b} & gone}) and len(gone) > 5 and len(got) > 300
