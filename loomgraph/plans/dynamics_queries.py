@@ -70,12 +70,15 @@ def predictions(g: Graph) -> DataFrame:
     return M.predictions(M.apply_effects(nodes, effects), AS_OF).withColumn("due", F.col("due").cast("string"))
 
 
-@query("WITH " + _levels() + f", {APPLIED} SELECT brand AS community, count(DISTINCT sn.uid) AS members, round(avg(new - old), 6) AS mean_delta FROM sn LEFT JOIN ap ON ap.target = sn.uid GROUP BY brand")
+@query("WITH " + _levels() + f""", {APPLIED}, m AS (SELECT DISTINCT target, source FROM ef), c AS (SELECT ap.target AS uid, m.source, new - old AS delta FROM ap JOIN m ON m.target = ap.target),
+b AS (SELECT brand AS community, count(DISTINCT sn.uid) AS members, round(avg(delta), 6) AS mean_delta FROM sn LEFT JOIN c ON c.uid = sn.uid GROUP BY brand),
+w AS (SELECT brand AS community, source, round(sum(abs(delta)), 6) AS w FROM sn JOIN c ON c.uid = sn.uid GROUP BY brand, source), r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY w DESC, source) AS k FROM w)
+SELECT b.*, r.source AS main_source FROM b LEFT JOIN r ON r.community = b.community AND k = 1""")
 def tier_changes(g: Graph) -> DataFrame:
     nodes, _, effects = _effects(g)
-    moved = M.apply_effects(nodes, effects).select(F.col("target").alias("uid"), F.lit(None).cast("string").alias("source"), "delta")
+    moved = M.apply_effects(nodes, effects).join(effects.select("target", "source").distinct(), "target").select(F.col("target").alias("uid"), "source", "delta")
     tiers = nodes.select("uid", F.lit("C1").alias("tier"), F.col("brand").alias("community"))
-    return K.tier_changes(moved, tiers).select("community", "members", "mean_delta")
+    return K.tier_changes(moved, tiers).select("community", "members", "mean_delta", "main_source")
 
 
 @query("""WITH e AS (SELECT event_id AS event, 'user:' || user_id AS uid, event_type AS kind, CAST(json_extract_string(props, '$.k') AS INT) / 100.0::DOUBLE AS magnitude, value / 500.0::DOUBLE AS weight FROM events)

@@ -86,10 +86,10 @@ def type_distribution(g: Graph) -> DataFrame:
     return counts.withColumn("percent", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))
 
 
-@query("SELECT uid, label, name FROM nodes WHERE uid NOT IN (SELECT src FROM depends_on UNION ALL SELECT dst FROM depends_on UNION ALL SELECT src FROM tagged_with UNION ALL SELECT dst FROM tagged_with)")
+@query("SELECT uid, label, name FROM nodes WHERE uid NOT IN (SELECT src FROM edges WHERE confidence >= 0.7 UNION ALL SELECT dst FROM edges WHERE confidence >= 0.7)")
 def isolated_nodes(g: Graph) -> DataFrame:
-    """Nodes that neither depend, are depended on, nor carry or are a tag."""
-    ends = match.of_types(g.edges, "DEPENDS_ON", "TAGGED_WITH").select(F.explode(F.array("src", "dst")).alias("uid"))
+    """Nodes without any edge, of whatever type, that is more than weak."""
+    ends = g.edges.where("confidence >= 0.7").select(F.explode(F.array("src", "dst")).alias("uid")).distinct()
     return g.nodes.join(ends, "uid", "left_anti").select("uid", "label", "name")
 
 
