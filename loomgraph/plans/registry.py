@@ -28,5 +28,5 @@ def query(oracle: str | None = None, name: str | None = None):
     return register
 
 
-for _module in ("graph_queries", "claim_queries", "rule_queries", "text_queries", "entity_queries", "structure_queries", "dynamics_queries", "file_queries", "more_queries", "question_queries", "impact_queries"):
+for _module in ("graph_queries", "claim_queries", "rule_queries", "text_queries", "entity_queries", "structure_queries", "dynamics_queries", "file_queries", "more_queries", "question_queries", "impact_queries", "read_queries"):
     importlib.import_module(f"loomgraph.plans.{_module}")
