@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import looked_up
+from loomgraph.plans.session import written
 
 #: Characters of a piece, and the words up to which they are broadcast with their pieces; more are salted.
 GRAM, WORDS = 3, 200_000
@@ -24,7 +25,7 @@ def contained(words: DataFrame, texts: DataFrame) -> DataFrame:
     verified on the texts, so no pair is lost or made up. Case counts; lower both sides where it should not. Null texts
     hold nothing, null and empty words stand nowhere; a uid of several texts counts if one of them has the word.
     """
-    asked = words.select("word").where("word <> ''").distinct()
+    asked = written(words.select("word").where("word <> ''").distinct())
     plain = texts.select("uid", "text").where("text IS NOT NULL")
     found = None
     for size in sorted(r[0] for r in asked.select(F.least(F.length("word"), F.lit(GRAM)).alias("size")).distinct().collect()):  # three at most
@@ -33,8 +34,8 @@ def contained(words: DataFrame, texts: DataFrame) -> DataFrame:
         grams = plain.select("uid", F.explode(_pieces(F.col("text"), size)).alias("gram"))
         held = grams.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
         rare = parts.join(held, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
-        anchors = rare.where("least.n > 0").select("word", F.col("least.gram").alias("gram"))
-        near = looked_up(grams, anchors, "gram", own.count() <= WORDS).select("uid", "word").distinct()
+        anchors = written(rare.where("least.n > 0").select("word", F.col("least.gram").alias("gram")))
+        near = looked_up(grams, anchors, "gram", anchors.count() <= WORDS).select("uid", "word").distinct()
         hits = near.join(plain, "uid").where(F.contains("text", F.col("word"))).select("word", "uid").distinct()
         found = hits if found is None else found.unionAll(hits)
     return asked.join(plain, F.lit(False)).select("word", "uid") if found is None else found

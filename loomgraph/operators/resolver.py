@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators.containment import contained
 from loomgraph.operators.match import top_per
 from loomgraph.operators.retrieval import EXACT_NAME, K1, KEYWORD_ONLY, TOPIC_CONTAINS, bm25, postings
+from loomgraph.plans.session import written
 
 #: The best texts that count for a name, the topics for a keyword, characters that a keyword exceeds, nodes that are few.
 BEST, TOPICS, SHORT, FEW = 5, 5, 2, 2
@@ -38,17 +39,18 @@ def resolved(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     they are there already. Best score first, then least uid. Null and empty mentions bring nothing.
     """
     asked = mentions.where("mention <> ''").select("question", "mention").distinct()
-    single = asked.select("mention").distinct()
+    single = written(asked.select("mention").distinct())
     topics = nodes.where("label = 'Topic'")
     exact = nodes.where("label = 'Technology'").select("uid", F.lower("name").alias("folded"))
     same = single.withColumn("folded", F.lower("mention")).join(exact, "folded").select("mention", "uid", F.lit(EXACT_NAME).alias("score"))
     holding = _topics_with(single.withColumnRenamed("mention", "word"), topics)
     wide = single.withColumn("word", F.lower("mention")).join(holding, "word").select("mention", "uid", F.lit(TOPIC_CONTAINS).alias("score"))
     by_name = full_text(single, nodes).unionByName(same).unionByName(wide)
-    found = asked.join(by_name, "mention").groupBy("question", "uid").agg(F.max("score").alias("score"))
+    found = written(asked.join(by_name, "mention").groupBy("question", "uid").agg(F.max("score").alias("score")))  # read three times below
 
     many = found.groupBy("question").agg(F.count("*").alias("n")).where(F.col("n") >= FEW).select("question")
     words = asked.join(many, "question", "left_anti").select("question", F.explode(F.split(F.lower("mention"), r"\s+")).alias("word")).where(F.length("word") > SHORT).distinct()
+    words = written(words)
     some = top_per(_topics_with(words, topics), ["word"], [F.col("uid")], TOPICS)
     loose = words.join(some, "word").select("question", "uid").distinct().join(found.select("question", "uid"), ["question", "uid"], "left_anti")
     out = found.unionByName(loose.withColumn("score", F.lit(KEYWORD_ONLY))).join(nodes.select("uid", "label", "name"), "uid")
