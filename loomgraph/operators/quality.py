@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +40,13 @@ def equal_pairs(nodes: DataFrame, marks: list[str], most: int = MOST_PAIRS) -> i
     """
     name = F.lower("name")
     ways = [name, *[F.replace(name, F.lit(m), F.lit("")) for m in marks]]
-    keyed = [nodes.where("name IS NOT NULL").select("uid", way.alias("key")).distinct() for way in ways]
-    groups = [k.groupBy("key").agg(F.count("*").alias("n")).where("n > 1") for k in keyed]
-    if max(_one(g, F.sum(F.expr("n * (n - 1) div 2"))) for g in groups) >= most:
+    keyed = nodes.where("name IS NOT NULL").select("uid", F.posexplode(F.array(*ways)).alias("way", "key")).distinct()
+    groups = keyed.groupBy("way", "key").agg(F.count("*").alias("n")).where("n > 1")
+    if _one(groups.groupBy("way").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")), F.max("pairs")) >= most:
         return most
-    held = [k.join(g.select("key"), "key", "left_semi") for k, g in zip(keyed, groups)]
-    pairs = [h.withColumnRenamed("uid", "a").join(h.withColumnRenamed("uid", "b"), "key").where("a < b").select("a", "b") for h in held]
-    return min(most, reduce(DataFrame.unionAll, pairs).distinct().count())
+    held = keyed.join(groups.select("way", "key"), ["way", "key"], "left_semi")
+    pairs = held.withColumnRenamed("uid", "a").join(held.withColumnRenamed("uid", "b"), ["way", "key"]).where("a < b").select("a", "b")
+    return min(most, pairs.distinct().count())
 
 
 def two_edge_paths(edges: DataFrame, differ: str | None = None) -> int:
@@ -94,7 +92,10 @@ def _share(part: float, whole: float, full: float) -> float:
 
 def measures(nodes: DataFrame, edges: DataFrame) -> dict[str, float]:
     """The counts that the dimensions come from: one pass over nodes, one over edges with the labels of their ends, and one by node."""
-    nodes, edges = _with(nodes, ["uid", "label"], NODE), _with(edges, ["src", "dst", "type"], EDGE)
+    # Both are read several times: written once, long texts as their lengths and names only where they are compared.
+    short = {"name": F.when(F.col("label").isin(list(LOOSE)), F.col("name")), "summary": F.length("summary"), "full_content": F.length("full_content")}
+    nodes = written(_with(nodes, ["uid", "label"], NODE).withColumns(short))
+    edges = written(_with(edges, ["src", "dst", "type"], EDGE))
     label, when = F.col("label"), F.count_if
     content, claim, community = label.isin(CONTENT), label == "Claim", label == "Community"
     of_nodes = nodes.agg(
@@ -102,9 +103,9 @@ def measures(nodes: DataFrame, edges: DataFrame) -> dict[str, float]:
         when(claim).alias("claims"), F.avg(F.when(claim, F.col("confidence"))).alias("sureness"), F.count_distinct(F.when(claim, F.coalesce("claim_type", F.lit("")))).alias("kinds"),
         when(claim & F.col("verified")).alias("verified"), when(claim & F.col("has_history")).alias("histories"),
         when(community).alias("communities"), F.size(F.collect_set(F.when(community, F.coalesce("level", F.lit(0))))).alias("levels"),
-        when(community & (F.col("summary") != "")).alias("summed_up"), when(community & F.col("summary").isNotNull() & (F.col("member_count") > 0)).alias("enriched"),
+        when(community & (F.col("summary") > 0)).alias("summed_up"), when(community & F.col("summary").isNotNull() & (F.col("member_count") > 0)).alias("enriched"),
         when(label.isin(ENTITIES)).alias("entities"), when(label.isin(NAMED)).alias("named"), when(content).alias("content"),
-        when(content & (F.col("published_date") != "")).alias("dated"), when(content & (F.length("full_content") > 100)).alias("full"), when(content & (F.length("summary") > 20)).alias("summaries"),
+        when(content & (F.col("published_date") != "")).alias("dated"), when(content & (F.col("full_content") > 100)).alias("full"), when(content & (F.col("summary") > 20)).alias("summaries"),
         when((label == "Lever") & (F.col("status") == "active")).alias("levers"), when((label == "MetaLever") & F.col("active")).alias("meta_levers"), when(label == "CrawlLog").alias("logs"),
     ).first().asDict()
     labels = nodes.select("uid", "label")
