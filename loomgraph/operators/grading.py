@@ -7,12 +7,28 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators.containment import contained
+from loomgraph.operators.match import top_per
 from loomgraph.operators.questions import question_type
 
 #: Shares of expected names that a good and a partial answer have, and what an answer says that found nothing.
 GOOD, PARTIAL, NOTHING = 0.8, 0.5, "찾을 수 없습니다"
 #: Types of questions that compare two names; others ask for one.
 OF_TWO = {"causal": "causal_path", "comparison": "comparison", "relationship": "relationship"}
+#: Patterns of lines that may tell of an incident, and the lines shown for each.
+INCIDENTS = [
+    "hallucinat", "contradict", "dedup.*mismatch", "merge conflict", "unexpected entity", "invalid extraction", "recall drop", "regression", "empty response", "fallback",
+]
+SHOWN = 5
+
+
+def incidents(lines: DataFrame, patterns: list[str] = INCIDENTS, k: int = SHOWN) -> DataFrame:
+    """(folder, pattern, file, line, text, rank): the first k lines (folder, file, line, text) of each folder that each pattern finds, case kept.
+
+    By file, then line. A line of several patterns stands under each; null texts match nothing.
+    """
+    found = F.array_compact(F.array(*[F.when(F.regexp_like("text", F.lit(p)), F.lit(p)) for p in patterns]))
+    hits = lines.select("folder", F.explode(found).alias("pattern"), "file", "line", "text")
+    return top_per(hits, ["folder", "pattern"], [F.col("file"), F.col("line"), F.col("text")], k, rank="rank")
 
 
 def graded(answers: DataFrame, names: DataFrame) -> DataFrame:

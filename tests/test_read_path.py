@@ -100,6 +100,14 @@ def test_grades_of_every_quality(spark):
     assert rows(grading.summary(grades.limit(0))) == []
 
 
+def test_incidents_of_each_folder(spark):
+    texts = ["dedup: 3 items mismatch", "Regression", "regression then fallback", None, "", *["fallback"] * 6]
+    lines = spark.createDataFrame([("a", "f1" if i % 2 else "f0", i, t) for i, t in enumerate(texts)] + [("b", "f", 0, "fallback")], "folder string, file string, line int, text string")
+    got = [(r["folder"], r["pattern"], r["file"], r["line"], r["rank"]) for r in grading.incidents(lines).orderBy("folder", "pattern", "rank").collect()]
+    shown = [("f0", 2), ("f0", 6), ("f0", 8), ("f0", 10), ("f1", 5)]
+    assert got == [("a", "dedup.*mismatch", "f0", 0, 1), *[("a", "fallback", f, n, i) for i, (f, n) in enumerate(shown, 1)], ("a", "regression", "f0", 2, 1), ("b", "fallback", "f", 0, 1)]
+
+
 def test_mentions_choose_what_is_asked(spark):
     asked = spark.createDataFrame([("1", "Ann 과 Bob 의 관계"), ("2", "왜 Bob?"), ("3", "ann 비교"), ("4", "Bob, Ann, Cy"), ("5", None), ("6", "Cy 왜 Bob")], "question string, text string")
     entities = spark.createDataFrame([("e3", "Ann"), ("e1", "Bob"), ("e2", "Cy"), ("e0", "Cy"), ("e4", ""), ("e5", None)], "uid string, name string")
