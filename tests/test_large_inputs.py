@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import duckdb
-from compare import rows, same
-
-from loomgraph.operators import dedup
-from loomgraph.plans import registry
+from loomgraph.operators import dedup, modularity
 from loomgraph.plans.session import written
 
 
@@ -18,3 +14,10 @@ def test_pieces_of_names_are_dealt_out_not_broadcast(spark):
     names = written(spark.createDataFrame([("T", f"Customer#{i:09d}") for i in range(20)], "label string, n string"))
     plan = joins(dedup.close_by_edits(names))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_members_of_communities_are_dealt_out_not_broadcast(spark):
+    pairs = written(spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "a string, b string, weight double"))
+    members = written(spark.createDataFrame([(0, u, "x") for u in "abc"], "tier int, uid string, community string"))
+    plan = joins(modularity.quality(pairs, members))
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan
