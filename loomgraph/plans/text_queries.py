@@ -129,12 +129,14 @@ nullif(regexp_extract(a, '<div[^>]*class="[^"]*(?:content|article|post|entry|bod
     number = r"CASE WHEN regexp_matches(x, '^[xX][0-9a-fA-F]{1,6};') THEN chr(CAST('0x' || regexp_extract(x, '^[xX]([0-9a-fA-F]+);', 1) AS INT)) || substr(x, instr(x, ';') + 1) WHEN regexp_matches(x, '^[0-9]{1,7};') THEN chr(CAST(regexp_extract(x, '^([0-9]+);', 1) AS INT)) || substr(x, instr(x, ';') + 1) ELSE '&#' || x END"
     text = f"array_to_string(list_transform(string_split({text}, '&#'), lambda x, i: CASE WHEN i = 1 THEN x ELSE {number} END), '')"
     return rf"""WITH s AS (SELECT page_id, {out} AS a FROM pages), m AS (SELECT page_id, {part} AS b FROM s),
-l AS (SELECT page_id, list_filter(list_transform(string_split({text}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 20 OR regexp_matches(x, '^[#\-*]|^\d+\.')) AS ls FROM m)
-SELECT page_id, len(ls) AS n_lines, md5(substr(array_to_string(ls, chr(10)), 1, 50000)) AS text_md5 FROM l"""
+l AS (SELECT page_id, list_filter(list_transform(string_split({text}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 20 OR regexp_matches(x, '^[#\-*]|^\d+\.')) AS ls FROM m),
+t AS (SELECT page_id, substr(array_to_string(ls, chr(10)), 1, 50000) AS t FROM l)
+SELECT page_id, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) END AS n_lines, md5(t) AS text_md5 FROM t"""
 
 
 @query(_html_sql())
 def html_to_text(g: Graph) -> DataFrame:
+    """The text of each page, of 50,000 characters at most: its lines and checksum."""
     text = T.html_to_text(F.col("html"))
     return g.table("pages").select("page_id", text.alias("t")).select("page_id", F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", "\n"))).cast("bigint").alias("n_lines"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
 

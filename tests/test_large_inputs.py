@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import duckdb
+from compare import rows, same
+from conftest import SMALL
+
 from loomgraph.operators import dedup, modularity
+from loomgraph.plans import registry
 from loomgraph.plans.session import written
 
 
@@ -21,3 +26,16 @@ def test_members_of_communities_are_dealt_out_not_broadcast(spark):
     members = written(spark.createDataFrame([(0, u, "x") for u in "abc"], "tier int, uid string, community string"))
     plan = joins(modularity.quality(pairs, members))
     assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan
+
+
+def test_html_lines_are_those_of_the_cut_text(spark, tmp_path):
+    html = "<p>" + "</p><p>".join(f"a line of some words with number {i}" for i in range(3000)) + "</p>"
+    spark.createDataFrame([(1, "u", html), (2, "u", "<p>short</p>"), (3, "u", "<p>a line of more than twenty characters</p>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for other in ("part", "supplier", "customer", "nation", "region", "orders", "lineitem", "events", "documents", "labels"):
+        con.execute(f"CREATE VIEW {other} AS SELECT * FROM read_parquet('{SMALL}/{other}.parquet')")
+    got = registry.QUERIES["html_to_text"](spark, str(tmp_path)).toPandas()
+    want = con.execute(registry.ORACLE_SQL["html_to_text"]).df()
+    assert rows(got) == rows(want) and same(rows(got), rows(want))
+    assert dict(zip(got["page_id"], got["n_lines"]))[1] < 3000
