@@ -39,3 +39,16 @@ def test_html_lines_are_those_of_the_cut_text(spark, tmp_path):
     want = con.execute(registry.ORACLE_SQL["html_to_text"]).df()
     assert rows(got) == rows(want) and same(rows(got), rows(want))
     assert dict(zip(got["page_id"], got["n_lines"]))[1] < 3000
+
+
+def test_every_document_of_a_passage_has_a_row(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    rows = [(i, " ".join(words(f"before{i}x", 30) + words("shared", 60) + words(f"after{i}x", 30))) for i in range(1, 7)]
+    rows += [(7, " ".join(words("other", 200))), (8, rows[3][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = entry.queries()["op2_compact_windows"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got if r["kind"] == "passage"} == {1, 2, 3, 4, 5, 6}
+    assert {(r["doc_id"], r["match_doc_id"]) for r in got if r["kind"] == "copy"} == {(8, 4), (4, 4)}
+    assert all((r["first_word"], r["last_word"], r["match_first_word"]) == (30, 89, 30) for r in got if r["kind"] == "passage")
