@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.plans.session import written
+from loomgraph.plans.session import piled, together, written
 
 
 def cascade(changes: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -17,18 +17,16 @@ def cascade(changes: DataFrame, bindings: DataFrame) -> DataFrame:
     """
     steps = written(bindings.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target", "action").distinct())
     roots = changes.select(F.col("name").alias("root")).where("root IS NOT NULL").distinct()
-    new, seen, depth = roots.select("root", F.col("root").alias("at")), None, 0
+    new, seen, depth = written(roots.select("root", F.col("root").alias("at"))), [], 0
     while True:
         depth += 1
         reached = new.join(steps, F.col("at") == F.col("source")).groupBy("root", "target").agg(F.min(F.struct("at", "action")).alias("by"))
-        if seen is not None:
-            reached = reached.join(seen.select("root", "target"), ["root", "target"], "left_anti")
+        if seen:
+            reached = reached.join(together(seen).select("root", "target"), ["root", "target"], "left_anti")
         found = written(reached.select("root", "target", F.lit(depth).alias("depth"), F.col("by.at").alias("via"), F.col("by.action").alias("action")))
-        if seen is None:
-            seen = found
         if found.isEmpty():
-            return seen
-        seen = seen if depth == 1 else seen.unionByName(found)
+            return together(seen) if seen else found
+        seen = piled(seen, found)
         new = found.where("target <> root").select("root", F.col("target").alias("at"))
 
 
