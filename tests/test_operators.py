@@ -273,3 +273,45 @@ def test_nearest_vectors_and_grounding_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(retrieval, "CHARACTERS", characters)
         assert sorted(tuple(r) for r in retrieval.grounded(cited, nodes).collect()) == [(1, 2, 1), (2, 1, 1), (3, 1, 1), (4, 1, 0)]
         assert retrieval.grounded(cited.limit(0), nodes).count() == 0
+
+
+def test_cycles_of_more_edges_than_a_number_has_bits(spark):
+    import random
+
+    rng = random.Random(8)
+    given = {(a, b): float(rng.randint(1, 20)) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(150)) if a != b}
+    edges = spark.createDataFrame([(f"{a:02d}", f"{b:02d}", w) for (a, b), w in given.items()], "src string, dst string, weight double")
+    tables, plain = [], causal.written
+    causal.written = lambda df: tables.append(1) or plain(df)
+    try:
+        got = {(r["src"], r["dst"]) for r in causal.without_cycles(edges, longest=2).collect()}
+    finally:
+        causal.written = plain
+    every = {(f"{a:02d}", f"{b:02d}"): w for (a, b), w in given.items()}
+    for a, b in [e for e in every if e[::-1] in every and e < e[::-1]]:
+        every.pop(min([(a, b), (b, a)], key=lambda e: (every[e], e)))
+
+    def weakest(e):
+        ahead, todo, least = {e[1]}, [e[1]], (every[e], e)
+        while todo:
+            at = todo.pop()
+            for s, d in every:
+                if s == at and d not in ahead and (every[(s, d)], (s, d)) > least:
+                    ahead.add(d)
+                    todo.append(d)
+        return e[0] in ahead
+
+    assert len(every) > 128 and got == {e for e in every if not weakest(e)}
+    assert 0 < len(tables) < 60  # before, every 64 edges had rounds of their own
+
+
+def test_betweenness_searches_no_trees(spark, monkeypatch):
+    ring = [(f"r{i}", f"r{(i + 1) % 5}") for i in range(5)]
+    trees = [("r0", "a"), ("a", "b"), ("a", "c"), ("c", "d"), ("r0", "e"), ("r2", "f")]
+    apart = [("x", "y"), ("y", "z"), ("z", "w"), ("p", "q")]
+    searched, plain = [], communities._block_dependencies
+    monkeypatch.setattr(communities, "_block_dependencies", lambda step, sources, nodes: searched.append(sources.count()) or plain(step, sources, nodes))
+    got = {r["uid"]: r["score"] for r in communities.betweenness(edges(spark, *(ring + trees + apart))).collect()}
+    want = brandes(ring + trees + apart)
+    assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 1e-8 for u in want)
+    assert searched == [7]  # the ring, and one node of each tree apart
