@@ -9,7 +9,7 @@ from compare import rows, same
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from loomgraph.operators import cascade, containment, dedup, grading, modularity, resolver, retrieval
+from loomgraph.operators import cascade, containment, context, dedup, grading, modularity, resolver, retrieval
 from loomgraph.plans import registry
 from loomgraph.plans.session import written
 
@@ -118,3 +118,23 @@ def test_rounds_of_a_cascade_are_few_tables(spark):
     got = cascade.cascade(spark.createDataFrame([("n00",)], "name string"), bindings)
     assert joins(got).count("Scan parquet") < 10  # before, one for each of 20 rounds
     assert sorted((r["target"], r["depth"]) for r in got.collect()) == [(f"n{i:02d}", i) for i in range(1, 21)]
+
+
+def test_lines_of_shared_nodes_are_looked_up_once_they_fit(spark):
+    nodes = [("a", "Technology", "A", None, 0.0), ("b", "Technology", "B", None, 0.0), ("o", "Organization", "Org", None, 0.0), ("odd", "Unknown", "Odd", None, 0.0)]
+    nodes += [(f"c{i}", "Claim", None, f"claim {i} " + "x" * (40 * i), i / 20) for i in range(1, 20)] + [("big", "Claim", None, "y" * 5000, 0.99), ("b", "Technology", "A second", None, 0.0)]
+    nodes = spark.createDataFrame(nodes, "uid string, label string, name string, content string, confidence double")
+    edges = [("a", "o", "a", "DEVELOPS", 0.7), ("a", "a", "b", "DEPENDS_ON", 0.6), ("b", "a", "b", "DEPENDS_ON", 0.6), ("a", "a", "a", "DEPENDS_ON", None), ("a", "gone", "a", "DISCUSSES", 0.8), ("b", "big", "b", "CLAIMS", 0.9), ("no seed", "a", "b", "DEPENDS_ON", 0.1)]
+    edges = spark.createDataFrame(edges + [("a", "o", f"c{i}", "CLAIMS", 0.9) for i in range(1, 20)], "seed string, src string, dst string, type string, confidence double")
+    seeds = spark.createDataFrame([("a",), ("b",), ("odd",)], "seed string")
+    got = dict(tuple(r) for r in context.around(seeds, edges, nodes).collect())
+    own = edges.join(seeds, "seed")
+    members = own.select("seed", F.explode(F.array("seed", "src", "dst")).alias("uid")).unionByName(seeds.withColumn("uid", F.col("seed"))).distinct()
+    want = context.context_texts(members.join(nodes, "uid"), own)
+    assert got == dict(tuple(r) for r in want.collect()) and len(got) == 3
+    assert "claim 19" in got["a"] and "y" * 10 not in got["b"] and got["odd"] == context.TITLE
+
+
+def test_contexts_shuffle_no_text_for_each_seed(spark):
+    plan = joins(registry.QUERIES["context_texts"](spark, SMALL))
+    assert plan.count("Scan parquet") < 10  # before, every table was read once for each step
