@@ -54,3 +54,18 @@ def test_walks_use_no_edge_twice(spark, depth):
     step = frame.select("src", "dst").unionAll(frame.where("src <> dst").select("dst", "src"))
     got = {(r["uid"], r["at"]) for r in impact.beyond_neighbours(step, step, depth).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("depth", [2, 3, 4])
+def test_first_names_beyond_are_those_of_all_walks(spark, depth):
+    rng = random.Random(depth)
+    pairs = [(f"n{rng.randrange(12):02d}", f"n{rng.randrange(12):02d}") for _ in range(22)] + [("n00", f"m{i:02d}") for i in range(40)] + [("n01", "n00")] * 2
+    edges = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "src string, dst string")
+    step = edges.unionAll(edges.select(edges["dst"].alias("src"), edges["src"].alias("dst"))).localCheckpoint()
+    named = step.selectExpr("src AS dst", "substring(src, 1, 1) AS label", "if(src = 'm03', null, concat('name ', int(substring(src, 2)) div 2)) AS name").distinct()
+    far = impact.beyond_neighbours(step, step, depth).withColumnRenamed("at", "dst").join(named, "dst").select("uid", "label", "name").distinct().collect()
+    for k in (1, 3, 30):
+        got = impact.first_beyond(step, step, named, depth, k).collect()
+        order = lambda r: (r["label"], r["name"] is not None, r["name"] or "")
+        want = [r for uid in {r["uid"] for r in far} for r in sorted((r for r in far if r["uid"] == uid), key=order)[:k]]
+        assert sorted(map(str, got)) == sorted(map(str, want))
