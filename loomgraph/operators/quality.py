@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.match import of_types
@@ -15,6 +18,8 @@ LINEAGE = ["EVOLVED_FROM", "INFLUENCES", "ALTERNATIVE_TO"]
 #: Characters left out when names are compared, pairs that are counted at most a label, nodes within two edges that earn all points.
 LOOSE = {"Technology": [" ", "-", "."], "Person": [], "Organization": [" "]}
 MOST_PAIRS, WIDE = 20, 15
+#: Nodes with most edges that are looked at alone before the reach of all is searched.
+HUBS = 1_000
 #: Points of each dimension.
 MOST = {"schema": 8, "rules": 8, "claims": 10, "communities": 10, "edge_metadata": 10, "connectivity": 8, "dedup": 6, "temporal": 8, "enrichment": 8, "retrieval": 8, "depth": 8, "tools": 8}
 #: Properties that are read; a table without one of them has null there.
@@ -55,20 +60,46 @@ def two_edge_paths(edges: DataFrame, differ: str | None = None) -> int:
     At each node edges in times edges out, less those of equal value or, for a loop, itself; no path is listed.
     """
     keyed = edges.select("src", "dst", (F.col(differ) if differ else F.lit("")).alias("key")).where("key IS NOT NULL")
-    ends = keyed.select(F.col("dst").alias("uid"), "key", F.lit(1).alias("i"), F.lit(0).alias("o")).unionAll(keyed.select("src", "key", F.lit(0), F.lit(1)))
-    by_key = ends.groupBy("uid", "key").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
-    at = by_key.groupBy("uid").agg((F.sum("i") * F.sum("o")).alias("all"), F.sum(F.col("i") * F.col("o")).alias("same"))
+    at = _by_node(keyed)
     if differ:
-        return _one(at, F.sum(F.col("all") - F.col("same")))
-    return _one(at, F.sum("all")) - keyed.where("src = dst").count()
+        return _one(at, F.sum(F.col("paths") - F.col("same")))
+    return _one(at, F.sum("paths")) - keyed.where("src = dst").count()
+
+
+def _by_node(keyed: DataFrame) -> DataFrame:
+    """(uid, degree, paths, same): edges (src, dst, key) of each node, a loop once, its edges in times out, and those of equal keys; null keys count in degrees only."""
+    loop = F.when(F.col("src") == F.col("dst"), 1).otherwise(0)
+    end = lambda c, i, o, loops: F.struct(F.col(c).alias("uid"), "key", F.lit(i).alias("i"), F.lit(o).alias("o"), loops.alias("loops"))
+    by_key = keyed.select(F.inline(F.array(end("src", 0, 1, loop), end("dst", 1, 0, F.lit(0))))).groupBy("uid", "key").agg(*[F.sum(c).alias(c) for c in ("i", "o", "loops")])
+    known = lambda c: F.coalesce(F.sum(F.when(F.col("key").isNotNull(), c)), F.lit(0))
+    i, o = F.col("i"), F.col("o")
+    return by_key.groupBy("uid").agg(F.sum(i + o - F.col("loops")).alias("degree"), (known(i) * known(o)).alias("paths"), known(i * o).alias("same"))
+
 
+def hub_reach(seeds: DataFrame, edges: DataFrame, degrees: DataFrame) -> float:
+    """At most what `mean_reach` gives: what seeds (uid) reach over the HUBS nodes with most edges by degrees (uid, degree).
 
-def mean_reach(seeds: DataFrame, edges: DataFrame, enough: int = WIDE) -> float:
+    Only edges at these few nodes are dealt out.
+    """
+    hubs = F.broadcast(degrees.orderBy(F.desc("degree"), "uid").limit(HUBS).select(F.col("uid").alias("hub")))
+    own = edges.select("src", "dst")
+    near = own.join(hubs, F.col("src") == F.col("hub")).select("hub", F.col("dst").alias("uid")).unionAll(own.join(hubs, F.col("dst") == F.col("hub")).select("hub", F.col("src").alias("uid")))
+    near = written(near.distinct())
+    wide = F.broadcast(near.groupBy("hub").agg((F.count("*") - 1).alias("n")))  # a row for each hub
+    best = near.join(wide, "hub").groupBy("uid").agg(F.max("n").alias("n"))
+    tied = seeds.select("uid").distinct().join(degrees.select("uid"), "uid", "left_semi")
+    return _one(tied.join(best, "uid", "left"), F.avg(F.coalesce("n", F.lit(0))))
+
+
+def mean_reach(seeds: DataFrame, edges: DataFrame, enough: int = WIDE, degrees: DataFrame | None = None) -> float:
     """Mean number of nodes within two undirected edges of the seeds (uid) that have any edge; `enough` at least as a bound if that is clear.
 
     A seed reaches what its largest neighbour is tied to. Only if these alone do not mean `enough` are the pairs listed, which
-    are then few. A seed comes back to itself by two edges between the same nodes.
+    are then few. A seed comes back to itself by two edges between the same nodes. With degrees (uid, degree) of all nodes with edges,
+    neighbours with most edges are looked at alone first.
     """
+    if degrees is not None and (bound := hub_reach(seeds, edges, degrees)) >= enough:
+        return float(bound)
     both = edges.select("src", "dst").unionAll(edges.where("src <> dst").select("dst", "src"))
     near = written(both.groupBy(F.col("src").alias("uid"), F.col("dst").alias("at")).agg(F.count("*").alias("edges")))
     first = near.join(seeds.select("uid").distinct(), "uid", "left_semi")
@@ -95,7 +126,12 @@ def measures(nodes: DataFrame, edges: DataFrame) -> dict[str, float]:
     # Both are read several times: written once, long texts as their lengths and names only where they are compared.
     short = {"name": F.when(F.col("label").isin(list(LOOSE)), F.col("name")), "summary": F.length("summary"), "full_content": F.length("full_content")}
     nodes = written(_with(nodes, ["uid", "label"], NODE).withColumns(short))
-    edges = written(_with(edges, ["src", "dst", "type"], EDGE))
+    kinds = {"type": "type", "space": "analysis_space", "inferred": "source <=> 'inferred'"} | {c: f"{of} IS NOT NULL" for c, of in (("noted", "note"), ("sure", "confidence"), ("sourced", "source"), ("timed", "extracted_at"))}
+    edges = written(_with(edges, ["src", "dst", "type"], EDGE).select("src", "dst", *[F.expr(e).alias(c) for c, e in kinds.items()]))
+    # Types, spaces and what else edges are told apart by are few together: a number for each goes along with an edge, not their texts.
+    marks = written(edges.select(*kinds).distinct().withColumn("mark", F.row_number().over(Window.orderBy(*kinds))))
+    numbered = F.broadcast(marks.select("mark", *[F.col(c).alias(f"__{c}") for c in kinds]))
+    edges = edges.join(numbered, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in kinds]))
     label, when = F.col("label"), F.count_if
     content, claim, community = label.isin(CONTENT), label == "Claim", label == "Community"
     of_nodes = nodes.agg(
@@ -109,28 +145,32 @@ def measures(nodes: DataFrame, edges: DataFrame) -> dict[str, float]:
         when((label == "Lever") & (F.col("status") == "active")).alias("levers"), when((label == "MetaLever") & F.col("active")).alias("meta_levers"), when(label == "CrawlLog").alias("logs"),
     ).first().asDict()
     labels = nodes.select("uid", "label")
-    ended = edges.join(labels.select(F.col("uid").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("uid").alias("dst"), F.col("label").alias("b")), "dst")
+    source = F.when(F.col("type").isin("MEMBER_OF", "EXECUTED", "CLAIMS"), F.col("src")).alias("source")  # the only ones that are counted once each
+    ended = edges.select("src", "dst", "mark", source).join(labels.select(F.col("uid").alias("src"), F.col("label").alias("a")), "src").drop("src")
+    ended = ended.join(labels.select(F.col("uid").alias("dst"), F.col("label").alias("b")), "dst").groupBy("mark", "a", "b", "source").agg(F.count("*").alias("n"))
+    ended = ended.join(F.broadcast(marks), "mark")
     typed = lambda *t: F.col("type").isin(*t)
+    n = lambda c: F.sum(F.when(c, F.col("n")))
     of_edges = ended.agg(
-        F.count("*").alias("edges"), when(F.col("source") == "inferred").alias("inferred"), F.count("note").alias("notes"), F.count("confidence").alias("sure"),
-        F.count("analysis_space").alias("spaced"), F.count("source").alias("sourced"), F.count("extracted_at").alias("timed"), when(F.col("a") != F.col("b")).alias("cross"),
-        F.size(F.collect_set("analysis_space")).alias("spaces"), F.size(F.collect_set("type")).alias("types"), when(typed("PARENT_COMMUNITY")).alias("parents"), when(typed(*LINEAGE)).alias("lineage"),
-        when(typed("SUPPORTS", "CONTRADICTS") & (F.col("a") == "Claim") & (F.col("b") == "Claim")).alias("between_claims"),
-        F.count_distinct(F.when(typed("MEMBER_OF") & (F.col("b") == "Community"), F.col("src"))).alias("members"),
-        F.count_distinct(F.when(typed("EXECUTED") & (F.col("a") == "Lever") & (F.col("b") == "CrawlLog"), F.col("src"))).alias("executed"),
-        F.count_distinct(F.when(typed("CLAIMS") & F.col("a").isin(CONTENT) & (F.col("b") == "Claim"), F.col("src"))).alias("claimed"),
+        F.sum("n").alias("edges"), n(F.col("inferred")).alias("inferred"), n(F.col("noted")).alias("notes"), n(F.col("sure")).alias("sure"),
+        n(F.col("space").isNotNull()).alias("spaced"), n(F.col("sourced")).alias("sourced"), n(F.col("timed")).alias("timed"), n(F.col("a") != F.col("b")).alias("cross"),
+        F.size(F.collect_set("space")).alias("spaces"), F.size(F.collect_set("type")).alias("types"), n(typed("PARENT_COMMUNITY")).alias("parents"), n(typed(*LINEAGE)).alias("lineage"),
+        n(typed("SUPPORTS", "CONTRADICTS") & (F.col("a") == "Claim") & (F.col("b") == "Claim")).alias("between_claims"),
+        F.count_distinct(F.when(typed("MEMBER_OF") & (F.col("b") == "Community"), F.col("source"))).alias("members"),
+        F.count_distinct(F.when(typed("EXECUTED") & (F.col("a") == "Lever") & (F.col("b") == "CrawlLog"), F.col("source"))).alias("executed"),
+        F.count_distinct(F.when(typed("CLAIMS") & F.col("a").isin(CONTENT) & (F.col("b") == "Claim"), F.col("source"))).alias("claimed"),
     ).first().asDict()
-    degree = edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("uid")).groupBy("uid").agg(F.count("*").alias("degree")).join(labels, "uid")
-    by_node = degree.agg(F.count("*").alias("tied"), F.avg(F.when(F.col("label").isin(*CONTENT, "Repo"), F.col("degree"))).alias("edges_of_content")).first().asDict()
+    by_node = written(_by_node(edges.select("src", "dst", F.col("space").alias("key"))))
+    of_ends = by_node.join(labels, "uid").agg(F.count("*").alias("tied"), F.avg(F.when(F.col("label").isin(*CONTENT, "Repo"), F.col("degree"))).alias("edges_of_content")).first().asDict()
     community_edges = of_types(edges, "PARENT_COMMUNITY")
     rest = {
         "pairs": sum(equal_pairs(nodes.where(F.col("label") == name), marks) for name, marks in LOOSE.items()),
-        "chains": two_edge_paths(edges.where("source = 'inferred'")),
-        "crossing": two_edge_paths(edges, "analysis_space"),
+        "chains": two_edge_paths(edges.where("inferred")),
+        "crossing": _one(by_node, F.sum(F.col("paths") - F.col("same"))),
         "hierarchy": 0 if not of_edges["parents"] else 2 if two_edge_paths(community_edges) else 1,
-        "reach": mean_reach(nodes.where("label = 'Article'"), edges),
+        "reach": mean_reach(nodes.where("label = 'Article'"), edges, degrees=by_node.select("uid", "degree")),
     }
-    return {k: v or 0 for k, v in (of_nodes | of_edges | by_node | rest).items()}
+    return {k: v or 0 for k, v in (of_nodes | of_edges | of_ends | rest).items()}
 
 
 def dimensions(nodes: DataFrame, edges: DataFrame, tools: float = 0.0, text_index: bool = True) -> DataFrame:

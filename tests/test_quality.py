@@ -7,7 +7,9 @@ import random
 
 import pytest
 
+from conftest import SMALL
 from loomgraph.operators import quality as Q
+from loomgraph.plans import registry
 
 
 def edges_of(spark, rows):
@@ -96,3 +98,22 @@ def test_points_of_nothing(spark):
     nodes, edges = spark.createDataFrame([], "uid string, label string"), spark.createDataFrame([], "src string, dst string, type string")
     got = {r["dimension"]: r["score"] for r in Q.dimensions(nodes, edges, text_index=False).collect()}
     assert {k for k, v in got.items() if v} == {"dedup", "total"} and got["dedup"] == 6.0
+
+
+def test_reach_over_hubs_alone_is_never_more(spark):
+    rows = [*random_edges(3), *[(f"a{i}", "hub", "x") for i in range(40)], *[(f"a{i}", "hub", "y") for i in range(5)], ("u", "u", "x")]
+    frame = edges_of(spark, rows)
+    seeds = spark.createDataFrame([(f"a{i}",) for i in range(40)] + [("n1",), ("u",), ("lone",)], "uid string")
+    degrees = Q._by_node(frame.withColumnRenamed("space", "key")).select("uid", "degree")
+    assert {r["uid"]: r["degree"] for r in degrees.collect()} == {u: sum(u in e[:2] for e in rows) for e in rows for u in e[:2]}
+    assert 15 <= Q.hub_reach(seeds, frame, degrees) <= Q.mean_reach(seeds, frame, enough=1000)
+    assert Q.mean_reach(seeds, frame, enough=1000, degrees=degrees) == Q.mean_reach(seeds, frame, enough=1000)
+
+
+def test_nodes_of_all_dimensions_are_numbered(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(Q, "dimensions", lambda nodes, edges, **more: given.extend((nodes, edges)) or nodes)
+    registry.QUERIES["quality_dimensions"](spark, SMALL)
+    nodes, edges = given
+    assert [dict(nodes.dtypes)["uid"], dict(edges.dtypes)["src"], dict(edges.dtypes)["dst"]] == ["bigint"] * 3  # before, texts
+    assert nodes.where("uid IS NULL").isEmpty() and nodes.count() == nodes.select("uid").distinct().count() == nodes.select("uid", "label").distinct().count()
