@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
@@ -103,3 +104,21 @@ def test_labels_backlogs_and_gates(spark):
     found = spark.createDataFrame([(1, 10, 7), (2, 10, 6), (3, 0, 0), (4, 2, 0)], "uid int, entities int, relations int")
     assert [r["again"] for r in loading.second_pass(found).orderBy("uid").collect()] == [False, True, False, True]
     assert rows(loading.extremes(found, "entities", "uid", 1)) == [("bottom", 3, 0), ("top", 1, 10)]
+
+
+def test_a_task_hands_on_only_the_first_texts_of_a_word(monkeypatch):
+    texts = [(f"t{(i * 37) % 100:02d}", "alpha beta" if i % 2 else "beta") for i in range(100)]
+    batches = [pd.DataFrame(texts[i : i + 10], columns=["uid", "text"]) for i in range(0, 100, 10)]
+    least = lambda word, k: sorted(uid for uid, text in texts if word in text)[:k]
+    want = {(word, uid) for word in ("alpha", "beta", "eta") for uid in least(word, 3)}
+    run = lambda: [tuple(r) for got in retrieval._holding(["alpha", "beta", "eta", "nowhere"], 3)(iter(batches)) for r in got.itertuples(index=False)]
+    assert len(run()) == 9 and set(run()) == want  # before, 250 rows
+    monkeypatch.setattr(retrieval, "HELD", 5)
+    assert set(run()) >= want
+
+
+def test_first_texts_of_words_are_those_of_all(spark):
+    texts = spark.createDataFrame([(f"t{i:03d}", f"Alpha{'' if i % 3 else ' beta'}") for i in range(200)] + [("t000", "beta"), (None, "x")], "uid string, text string").repartition(5)
+    words = spark.createDataFrame([("alpha",), ("Beta",), (None,), ("none",)], "word string")
+    got = sorted(tuple(r) for r in retrieval.holders(texts, words, 40).collect())
+    assert got == [("alpha", f"t{i:03d}") for i in range(40)] + [("beta", f"t{i:03d}") for i in range(0, 120, 3)]
