@@ -68,7 +68,8 @@ b AS (SELECT DISTINCT src, dst, type FROM (SELECT src, dst, type FROM e UNION AL
 n AS (SELECT b.src AS uid, type, b.dst AS neighbour, name, row_number() OVER (PARTITION BY b.src ORDER BY type, b.dst) AS k FROM b JOIN nodes ON nodes.uid = b.dst)
 SELECT uid, type, neighbour, name FROM n WHERE k <= 20""")
 def related_entities(g: Graph) -> DataFrame:
-    return match.neighbours(g.nodes, match.of_types(g.edges, "DEPENDS_ON", "DEVELOPS"))
+    # Only these two kinds of nodes are ends of such edges, so the texts of others are not carried along.
+    return match.neighbours(g.nodes.where("label IN ('Technology', 'Organization')"), match.of_types(g.edges, "DEPENDS_ON", "DEVELOPS"))
 
 
 @query("""WITH e AS (SELECT DISTINCT src, dst FROM depends_on)
