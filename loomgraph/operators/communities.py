@@ -33,7 +33,7 @@ def cross_level_links(lower: DataFrame, discusses: DataFrame, tagged: DataFrame,
     """(c1, c2, shared): communities of members that content discusses, and of topics that the same content is tagged with;
     shared is the number of different members. lower and upper: (uid, community).
     """
-    seen = discusses.select("src", F.col("dst").alias("uid")).join(lower.select("uid", F.col("community").alias("c1")), "uid").distinct()
+    seen = discusses.select("src", F.col("dst").alias("uid")).join(lower.select("uid", F.col("community").alias("c1")), "uid")
     above = tagged.select("src", F.col("dst").alias("uid")).join(upper.select("uid", F.col("community").alias("c2")), "uid").select("src", "c2").distinct()
     return seen.join(above, "src").select("c1", "c2", "uid").distinct().groupBy("c1", "c2").agg(F.count("*").alias("shared"))
 

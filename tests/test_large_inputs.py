@@ -9,7 +9,7 @@ from compare import rows, same
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from loomgraph.operators import cascade, containment, context, dedup, grading, modularity, resolver, retrieval
+from loomgraph.operators import cascade, communities, containment, context, dedup, grading, match, modularity, resolver, retrieval
 from loomgraph.plans import registry
 from loomgraph.plans.session import written
 
@@ -138,3 +138,28 @@ def test_lines_of_shared_nodes_are_looked_up_once_they_fit(spark):
 def test_contexts_shuffle_no_text_for_each_seed(spark):
     plan = joins(registry.QUERIES["context_texts"](spark, SMALL))
     assert plan.count("Scan parquet") < 10  # before, every table was read once for each step
+
+
+def test_neighbours_of_few_kinds_carry_no_texts(spark):
+    plan = joins(registry.QUERIES["related_entities"](spark, SMALL))
+    assert "documents.parquet" not in plan and "orders.parquet" not in plan  # before, the texts of all claims were shuffled for their names
+
+
+def test_neighbours_are_those_of_both_ways(spark):
+    edges = [("a", "b", "T"), ("b", "a", "T"), ("a", "b", "T"), ("a", "b", "U"), ("c", "c", "T"), ("d", "a", "T"), (None, "a", "T"), ("a", None, "T"), ("d", "gone", "T"), (None, None, "T")]
+    edges = spark.createDataFrame(edges, "src string, dst string, type string")
+    nodes = spark.createDataFrame([(u, u.upper()) for u in "abcd"], "uid string, name string")
+    want = match.both_ways(edges).distinct().join(nodes.withColumnRenamed("uid", "dst"), "dst").select(F.col("src").alias("uid"), "type", F.col("dst").alias("neighbour"), "name")
+    got = match.neighbours(nodes, edges)
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert key(got) == key(want) and len(key(got)) == 9
+
+
+def test_links_of_levels_tell_members_apart_once(spark):
+    lower = written(spark.createDataFrame([("t1", "x"), ("t2", "x"), ("t3", "y"), ("t1", "x")], "uid string, community string"))
+    upper = written(spark.createDataFrame([("n1", "r"), ("n2", "r")], "uid string, community string"))
+    discusses = written(spark.createDataFrame([("a", "t1"), ("a", "t1"), ("a", "t2"), ("b", "t1"), ("b", "t3")], "src string, dst string"))
+    tagged = written(spark.createDataFrame([("a", "n1"), ("a", "n2"), ("b", "n2")], "src string, dst string"))
+    links = communities.cross_level_links(lower, discusses, tagged, upper)
+    assert sorted(map(tuple, links.collect())) == [("x", "r", 2), ("y", "r", 1)]
+    assert links._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 6  # before, 8
