@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import communities, impact, loading, retrieval
+from loomgraph.plans.registry import ORACLE_SQL
 
 
 def rows(df):
@@ -117,6 +118,14 @@ def test_a_task_hands_on_only_the_first_texts_of_a_word(monkeypatch):
     assert set(run()) >= want
 
 
+def test_concepts_are_expanded_over_all_texts(spark):
+    texts = spark.createDataFrame([(f"t{i:02d}", "alpha") for i in range(60)], "uid string, text string").repartition(3)
+    mentions = spark.createDataFrame([(f"t{i:02d}", "early" if i < 25 else "late") for i in range(60)], "src string, dst string")
+    phrases = spark.createDataFrame([("Alpha",)], "phrase string")
+    assert rows(retrieval.expand_concepts(phrases, texts, mentions)) == [("alpha", "early", 25, 2), ("alpha", "late", 35, 1)]  # before, of the first 40 texts: 25 and 15
+    assert "k <= 40" not in ORACLE_SQL["concepts_expanded"] and "k <= 40" in ORACLE_SQL["question_entities"]
+
+
 def test_first_texts_of_words_are_those_of_all(spark):
     texts = spark.createDataFrame([(f"t{i:03d}", f"Alpha{'' if i % 3 else ' beta'}") for i in range(200)] + [("t000", "beta"), (None, "x")], "uid string, text string").repartition(5)
     words = spark.createDataFrame([("alpha",), ("Beta",), (None,), ("none",)], "word string")
