@@ -63,13 +63,12 @@ def page(df: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
     return df.offset(max(0, offset)).limit(min(max(limit if limit is not None else 200, 1), 500))
 
 
-@query("""WITH e AS (SELECT * FROM edges WHERE type IN ('DEPENDS_ON', 'DEVELOPS')),
-b AS (SELECT DISTINCT src, dst, type FROM (SELECT src, dst, type FROM e UNION ALL SELECT dst, src, type FROM e)),
+@query("""WITH b AS (SELECT DISTINCT src, dst, type FROM (SELECT src, dst, type FROM edges UNION ALL SELECT dst, src, type FROM edges)),
 n AS (SELECT b.src AS uid, type, b.dst AS neighbour, name, row_number() OVER (PARTITION BY b.src ORDER BY type, b.dst) AS k FROM b JOIN nodes ON nodes.uid = b.dst)
 SELECT uid, type, neighbour, name FROM n WHERE k <= 20""")
 def related_entities(g: Graph) -> DataFrame:
-    # Only these two kinds of nodes are ends of such edges, so the texts of others are not carried along.
-    return match.neighbours(g.nodes.where("label IN ('Technology', 'Organization')"), match.of_types(g.edges, "DEPENDS_ON", "DEVELOPS"))
+    """The first twenty neighbours of every node, over edges of all types."""
+    return match.neighbours(g.nodes, g.edges)
 
 
 @query("""WITH e AS (SELECT DISTINCT src, dst FROM depends_on)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import cascade, communities, containment, context, dedup, grading, match, modularity, resolver, retrieval
 from loomgraph.plans import registry
+from loomgraph.plans.bindings import Graph
 from loomgraph.plans.session import written
 
 
@@ -155,6 +156,18 @@ def test_neighbours_are_those_of_both_ways(spark):
     assert key(got) == key(want) and len(key(got)) == 9
 
 
+def test_neighbours_are_over_edges_of_all_types(spark):
+    got = registry.QUERIES["related_entities"](spark, SMALL).select("type").distinct()
+    assert {r["type"] for r in got.collect()} == {r["type"] for r in Graph(spark, SMALL).edges.select("type").distinct().collect()}  # before, two of nine
+
+
+def test_neighbours_are_named_once_the_first_are_known(spark):
+    edges = spark.createDataFrame([("hub", f"n{i:02d}", "T") for i in range(30)] + [("hub", "gone", "T"), ("hub", "a0", "U")], "src string, dst string, type string")
+    nodes = spark.createDataFrame([("hub", "Hub"), ("a0", "A")] + [(f"n{i:02d}", None if i == 3 else f"N{i}") for i in range(1, 30)], "uid string, name string")
+    got = match.neighbours(nodes, edges)
+    assert sorted(tuple(r)[2] for r in got.where("uid = 'hub'").collect()) == [f"n{i:02d}" for i in range(1, 21)]
+
+
 def test_links_of_levels_tell_members_apart_once(spark):
     lower = written(spark.createDataFrame([("t1", "x"), ("t2", "x"), ("t3", "y"), ("t1", "x")], "uid string, community string"))
     upper = written(spark.createDataFrame([("n1", "r"), ("n2", "r")], "uid string, community string"))
