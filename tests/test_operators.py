@@ -305,6 +305,12 @@ def test_cycles_of_more_edges_than_a_number_has_bits(spark):
     assert 0 < len(tables) < 60  # before, every 64 edges had rounds of their own
 
 
+def test_components_carry_no_estimates_from_round_to_round(spark):
+    found = components.connected_components(edges(spark, *[(f"n{i:02d}", f"n{(i + 1) % 40:02d}") for i in range(40)]))
+    assert {r["component"] for r in found.collect()} == {"n00"}
+    assert int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length() < 40  # before, 5,887 bits
+
+
 def test_betweenness_searches_no_trees(spark, monkeypatch):
     ring = [(f"r{i}", f"r{(i + 1) % 5}") for i in range(5)]
     trees = [("r0", "a"), ("a", "b"), ("a", "c"), ("c", "d"), ("r0", "e"), ("r2", "f")]
@@ -315,3 +321,17 @@ def test_betweenness_searches_no_trees(spark, monkeypatch):
     want = brandes(ring + trees + apart)
     assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 1e-8 for u in want)
     assert searched == [7]  # the ring, and one node of each tree apart
+
+
+@pytest.mark.parametrize("held", [communities.HELD, 30])
+def test_betweenness_of_few_edges_takes_no_round_for_each_step(spark, monkeypatch, held):
+    ring = [(f"r{i}", f"r{(i + 1) % 30}") for i in range(30)]  # fifteen steps across
+    pairs = ring + [("r0", "r7"), ("r3", "m"), ("m", "r20"), ("r5", "a"), ("a", "b"), ("b", "c"), ("x", "y"), ("y", "z"), ("z", "x"), ("p", "q")]
+    monkeypatch.setattr(communities, "HELD", held)
+    tables, plain = [], communities.written
+    monkeypatch.setattr(communities, "written", lambda df: tables.append(1) or plain(df))
+    run = lambda: {r["uid"]: r["score"] for r in communities.betweenness(edges(spark, *pairs)).collect()}
+    got, n = run(), len(tables)
+    monkeypatch.setattr(communities, "SENT", 0)
+    assert got == pytest.approx(brandes(pairs), abs=2e-9) and run() == pytest.approx(got, abs=2e-9)
+    assert n < 12 < len(tables) - n  # before, two tables for each step of the longest path
