@@ -305,6 +305,22 @@ def test_cycles_of_more_edges_than_a_number_has_bits(spark):
     assert 0 < len(tables) < 60  # before, every 64 edges had rounds of their own
 
 
+def test_edges_of_cycles_are_searched_in_tasks_if_few(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    given = {(a, b): float(rng.randint(1, 9)) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(220)) if a != b}
+    edges = spark.createDataFrame([(f"{a:02d}", f"{b:02d}", w) for (a, b), w in given.items()], "src string, dst string, weight double")
+    tables, plain = [], causal.written
+    monkeypatch.setattr(causal, "written", lambda df: tables.append(1) or plain(df))
+    run = lambda: {(r["src"], r["dst"]) for r in causal.without_cycles(edges, longest=2).collect()}
+    got, n = run(), len(tables)
+    monkeypatch.setattr(causal, "SENT", 0)
+    assert got == run() and 0 < len(got) < len(given)
+    assert n < len(tables) - n  # before, a table for each step of the search
+    assert causal.without_cycles(edges.limit(0)).count() == 0
+
+
 def test_components_carry_no_estimates_from_round_to_round(spark):
     found = components.connected_components(edges(spark, *[(f"n{i:02d}", f"n{(i + 1) % 40:02d}") for i in range(40)]))
     assert {r["component"] for r in found.collect()} == {"n00"}
