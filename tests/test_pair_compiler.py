@@ -110,3 +110,17 @@ def test_cascade_against_a_queue(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want
     assert {(r["root"], r["length"]) for r in B.circles(got).collect()} == {(a, d) for a, t, d, *_ in want if a == t} and ("self", 1) in {tuple(r) for r in B.circles(got).collect()}
     assert B.cascade(spark.createDataFrame([], "name string"), spark.createDataFrame([], "source string, target string, action string")).count() == 0
+
+
+def test_cascades_of_few_bindings_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    bindings = {(f"n{rng.randrange(25):02d}", f"n{rng.randrange(25):02d}", rng.choice(["a", "b", None])) for _ in range(70)} | {("n00", "n00", "a"), ("n01", None, "a"), (None, "n02", "a")}
+    bindings = spark.createDataFrame(sorted(bindings, key=repr), "source string, target string, action string")
+    roots = spark.createDataFrame([(f"n{i:02d}",) for i in range(0, 30, 2)] + [(None,)], "name string")
+    tables, plain = [], B.written
+    monkeypatch.setattr(B, "written", lambda df: tables.append(1) or plain(df))
+    run = lambda: sorted(map(tuple, B.cascade(roots, bindings).collect()), key=repr)
+    got, n = run(), len(tables)
+    monkeypatch.setattr(B, "SENT", 0)
+    assert got == run() and len(got) > 100
+    assert n == 1 and len(tables) > 5  # before, a table for each round
