@@ -25,6 +25,20 @@ def test_pieces_of_names_are_dealt_out_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_short_names_of_one_length_are_neither_told_apart_nor_written(spark, monkeypatch):
+    nodes = spark.createDataFrame([(f"p{i}", "P", f"Customer#{i:09d}") for i in range(150)], "uid string, label string, name string")
+    sizes, plain = [], dedup.checkpointed
+    monkeypatch.setattr(dedup, "checkpointed", lambda df: sizes.append((t := plain(df)).count()) or t)
+    digits = [f"{i:03d}" for i in range(150)]
+    alike = lambda a, b: sum(x != y for x, y in zip(a, b)) <= 2 or any(a[:i] + a[i + 1 :] == b[:j] + b[j + 1 :] for i in range(3) for j in range(3))
+    want = {(f"customer#000000{a}", f"customer#000000{b}") for a in digits for b in digits if a < b and alike(a, b)}
+    got = [(r["x"], r["y"]) for r in dedup.similar_names(nodes).collect()]
+    assert set(got) >= want and len(got) == len(set(got)) > 5_000
+    assert max(sizes) < len(got) / 2  # before, all pairs
+    monkeypatch.setattr(dedup, "LENGTHS", 0)
+    assert sorted((r["x"], r["y"]) for r in dedup.similar_names(nodes).collect()) == sorted(got)
+
+
 def test_members_of_communities_are_dealt_out_not_broadcast(spark):
     pairs = written(spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "a string, b string, weight double"))
     members = written(spark.createDataFrame([(0, u, "x") for u in "abc"], "tier int, uid string, community string"))
